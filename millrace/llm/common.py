@@ -134,3 +134,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def numbered(docs: DataFrame, columns: list[str], *, buckets: int | None = None) -> DataFrame:
+    """docs with a row number `rid`, written once and bucketed by it: what later joins on rid is shuffled,
+    the texts are not. Rows stay apart even if their ids are null or repeat."""
+    spark = docs.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"millrace_{uuid.uuid4().hex}"
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *columns).repartition(buckets, "rid")
+    writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/rows")
+    writer.bucketBy(buckets, "rid").saveAsTable(name)
+    return spark.table(name)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): one row (node, component) for every node, component being the
+    smallest node that can be reached.
+
+    Alternates large-star and small-star steps until the edges no longer change; every step is a partial
+    aggregation and a join, and is written to the shared folder. Duplicates of an edge do no harm.
+    """
+    star = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    mark = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).cast("string"), F.lit(""))
+    seen = None
+    while True:
+        both = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        star = written(small.where("u <> v").distinct())
+        now = star.agg(F.count("*"), mark).head()
+        if now == seen:
+            break
+        seen = now
+    return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

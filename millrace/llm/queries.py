@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, token_files
+from . import bpe, mixing, near_join, token_files
 from .common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,9 +30,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).drop("n_copies")
 
 
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_join(load(spark, sf_dir, "documents")).drop("class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
+    "op8_near_join": op8_near_join,
 }
 ORACLES: dict[str, str] = {}
