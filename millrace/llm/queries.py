@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, near_join, token_files
+from . import bpe, mixing, near_join, repeats, token_files
 from .common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,10 +34,15 @@ def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(load(spark, sf_dir, "documents")).drop("class_id")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op8_near_join": op8_near_join,
+    "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {}
