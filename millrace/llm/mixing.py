@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, written
+from .common import count_words, numbered, written
 
 #: Copies of one document at most, so no source gets more than this many times its size.
 COPIES = 3
@@ -58,9 +58,13 @@ def targets(sized: DataFrame, weights: list[float] = (1, 2, 3), copies: int = CO
 
 
 def mix(docs: DataFrame, *, weights: list[float] = (1, 2, 3), copies: int = COPIES, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken and n_copies of each document of docs (doc_id, source, text)."""
+    """doc_id, size, source_size, target, taken and n_copies of each document of docs (doc_id, source, text).
+
+    A row number `rid` in docs is handed on.
+    """
+    number = ["rid"] if "rid" in docs.columns else []
     key = shuffle_key(F.col("doc_id"), seed)
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), count_words(F.col("text")).alias("size"), key.alias("key"))
+    sized = docs.select(*number, "doc_id", "source", F.xxhash64("text").alias("text_key"), count_words(F.col("text")).alias("size"), key.alias("key"))
     sized = written(sized.withColumn("cell", (F.col("key") % CELLS).cast("int")))
     goal = written(targets(sized, weights, copies))
 
@@ -87,4 +91,12 @@ def mix(docs: DataFrame, *, weights: list[float] = (1, 2, 3), copies: int = COPI
     names = ["rank", "cell", "row"]
     taken = whole.select(*names).unionAll(cut.select(*names)).groupBy(*names).agg(F.count("*").cast("int").alias("n_copies"))
     out = placed.join(taken, names, "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies")
+    return out.select(*number, "doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies")
+
+
+def mixture(docs: DataFrame, *, weights: list[float] = (1, 2, 3), copies: int = COPIES, seed: int = 17) -> DataFrame:
+    """The mixed documents: rows of docs (doc_id, source, text and others), each as often as it is taken."""
+    rows = numbered(docs, docs.columns)
+    taken = mix(rows, weights=weights, copies=copies, seed=seed).where("n_copies > 0").select("rid", "n_copies")
+    out = rows.join(taken, "rid").withColumn("rid", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    return out.select(*docs.columns)

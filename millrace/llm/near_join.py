@@ -209,18 +209,19 @@ def _across(shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     return written(meet.select("a", "b").distinct())
 
 
-def near_join(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every row of docs (doc_id, text).
+def classify(docs: DataFrame, columns: list[str], *, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows of docs (rid, `columns`, text) and for each rid its doc_id, set size n, the set's
+    key and the component's smallest rid, comp.
 
-    class_id is the smallest doc_id with the same shingle set. Texts link if 100 * |A & B| >= percent * |A | B|.
+    Texts link if 100 * |A & B| >= percent * |A | B|.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = numbered(docs, ["doc_id", "text"])
+    rows = numbered(docs, columns)
     found = written(_summaries(rows))
     hot = spark.sparkContext.broadcast(_frequent(found))
     sets = found.where("kind = 0").select("rid", "n", "key")
-    classes = written(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")))
+    classes = written(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid")))
     first = rows.join(classes.select("rid"), "rid")
 
     shared = _shared(_prefixes(first, 0, hot, percent))
@@ -229,20 +230,38 @@ def near_join(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS)
     pairs = sizes.join(whole, "a").where(_sizes_fit(F.col("n"), F.col("na"), percent)).select("a", F.col("rid").alias("b"))
     links = _verify(pairs, rows, hot, percent, orders)
 
-    pairs = _across(shared, components(links), percent)
+    comps = components(links)
+    pairs = _across(shared, comps, percent)
     for order in range(1, orders):
         left = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         again = _shared(_prefixes(rows.join(left, "rid"), order, hot, percent))
-        met = _across(again, components(links), percent)
-        pairs = written(pairs.join(met, ["a", "b"], "left_semi"))
+        pairs = written(pairs.join(_across(again, comps, percent), ["a", "b"], "left_semi"))
     links = links.unionAll(_verify(pairs, rows, hot, percent, orders))
-    joined = written(components(links))
+    joined = components(links)
 
-    members = classes.select("key", "rid").join(joined, F.col("rid") == F.col("node"), "left").select("key", F.coalesce("component", "rid").alias("comp"))
+    members = classes.join(joined, F.col("rid") == F.col("node"), "left").select("key", F.coalesce("component", "rid").alias("comp"))
     ids = rows.select("rid", "doc_id").join(sets, "rid").join(members, "key", "left")
-    ids = written(ids.select("rid", "doc_id", "n", "key", F.coalesce("comp", F.col("rid")).alias("comp")))
+    return rows, written(ids.select("rid", "doc_id", "n", "key", F.coalesce("comp", F.col("rid")).alias("comp")))
+
+
+def near_join(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id of every row of docs (doc_id, text).
+
+    component_id is the smallest doc_id that links reach, class_id the smallest with the same shingle set.
+    """
+    _, ids = classify(docs, ["doc_id", "text"], percent=percent, orders=orders)
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     alike = ids.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     out = ids.join(least, "comp").join(alike, "key", "left")
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def keep_one(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+    """docs without the rows that link, directly or through others, to one of smaller doc_id.
+
+    Rows without words link with nothing and stay; of rows with equal doc_ids the first stays.
+    """
+    rows, ids = classify(docs, docs.columns, percent=percent, orders=orders)
+    kept = ids.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid"))
+    return rows.join(kept.select("rid"), "rid").select(*docs.columns)

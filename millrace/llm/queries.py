@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, near_join, repeats, token_files
+from . import bpe, mixing, near_join, quality, repeats, token_files
 from .common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.grade(docs, quality.train(docs, load(spark, sf_dir, "labels"))).drop("text")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored(load(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
@@ -40,6 +45,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op8_near_join": op8_near_join,
