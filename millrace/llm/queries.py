@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, near_join, quality, repeats, token_files
+from . import bpe, mixing, near_join, near_vectors, quality, repeats, token_files
 from .common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).drop("n_copies")
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(load(spark, sf_dir, "documents")).drop("class_id")
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
+    "op5_near_vectors": op5_near_vectors,
     "op8_near_join": op8_near_join,
     "op10_repeats": op10_repeats,
 }
