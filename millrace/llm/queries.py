@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, mixing, near_join, near_vectors, quality, repeats, token_files, top_k
+from . import bpe, html_text, mixing, near_join, near_vectors, quality, repeats, scoring, token_files, top_k
 from .common import load
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(load(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(load(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_near_vectors": op5_near_vectors,
+    "op6_scoring": op6_scoring,
     "op7_html_text": op7_html_text,
     "op8_near_join": op8_near_join,
     "op9_top_k": op9_top_k,
