@@ -1,6 +1,6 @@
 """Byte-pair encoding and decoding with a public vocabulary.
 
-Texts are cut into pieces by the tokenizer's own pattern; distinct pieces are numbered, and those not yet
+Texts are cut at white space, distinct words are cut into pieces by the tokenizer's own pattern, and pieces not yet
 known are encoded together: the symbols of many pieces stand in one flat array, and each round merges, in
 every piece, its pair of lowest rank. A pair's rank is found by binary search over the sorted pair keys
 ``left * V + right``. Only pairs next to a merge are looked up again, and finished pieces leave the array.
@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches, column, slices, texts
 
 NONE = np.int32(2**31 - 1)
-#: Pieces that a worker remembers before it starts afresh; bounds memory, not the result.
-REMEMBERED = 250_000
+_separators, _space = re.compile("[\x1c-\x1f]"), regex.compile(r"\s+")
+#: Words that a worker remembers before it starts afresh; bounds memory, not the result.
+REMEMBERED = 500_000
 
 
 def _byte_symbols() -> list[str]:
@@ -38,18 +40,42 @@ def _byte_symbols() -> list[str]:
 
 
 class _Remembered(dict):
-    """piece -> its number; pieces not seen before gather in `new`."""
+    """string -> its number; strings not seen before gather in `new`."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        self.new.append(piece)
+    def __missing__(self, string: str) -> int:
+        number = self[string] = len(self)
+        self.new.append(string)
         return number
 
 
+class _Lists:
+    """Lists of ids by number, in one flat array."""
+
+    def __init__(self):
+        self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, count: np.ndarray, numbers: np.ndarray) -> None:
+        more = max(0, int(numbers.max(initial=-1)) + 1 - len(self.start))
+        if more:
+            self.start = np.r_[self.start, np.zeros(more, np.int64)]
+            self.count = np.r_[self.count, np.zeros(more, np.int64)]
+        self.start[numbers] = len(self.flat) + np.cumsum(count) - count
+        self.count[numbers] = count
+        self.flat = np.r_[self.flat, flat]
+
+    def take(self, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of `lengths` numbers, flat, and how many each run has."""
+        counts = self.count[numbers]
+        through = np.cumsum(counts)
+        place = np.repeat(self.start[numbers] - through + counts, counts)
+        place += np.arange(len(place))
+        return self.flat[place], np.diff(np.r_[0, through][np.r_[0, np.cumsum(lengths)]])
+
+
 class WordBPE:
     """Encoder and decoder for a `tokenizers` BPE file with an end-of-word suffix."""
 
@@ -78,15 +104,11 @@ class WordBPE:
         self._start_afresh()
 
     def _start_afresh(self) -> None:
-        self.seen = _Remembered()
-        self.flat = np.empty(0, np.int32)
-        self.start = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
+        self.words = _Remembered()
+        self.lists = _Lists()
         for content, number in self.special.items():
-            self.seen[content] = len(self.start)
-            self.start = np.append(self.start, len(self.flat))
-            self.flat = np.append(self.flat, np.int32(number))
-            self.count = np.append(self.count, 1)
+            self.words[content] = len(self.words)
+            self.lists.add(np.array([number], np.int32), np.ones(1, np.int64), np.array([len(self.words) - 1]))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
@@ -132,7 +154,10 @@ class WordBPE:
             keep[at + 1] = False
             now = np.cumsum(keep)[at] - 1
             sym, owner, rank = sym[keep], owner[keep], rank[keep]
-            again = np.unique(np.r_[now, now[now > 0] - 1])
+            near = np.zeros(len(sym), bool)
+            near[now] = True
+            near[now[now > 0] - 1] = True
+            again = np.flatnonzero(near)
             inside = again[again + 1 < len(sym)]
             joined = owner[inside] == owner[inside + 1]
             rank[again] = NONE
@@ -144,14 +169,19 @@ class WordBPE:
         order = np.argsort(owner, kind="stable")
         return np.concatenate(out_sym)[order], np.bincount(owner, minlength=len(pieces))
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of a text, as the tokenizer's normaliser and pattern cut it."""
+    def _words_of(self, text: str) -> list[str]:
+        """The text without white space; no piece of the pattern crosses any."""
         if "<|" in text:
             out: list[str] = []
             for k, part in enumerate(self.specials.split(text)):
-                out += [part] if k % 2 else self.pattern.findall(self._plain(part))
+                out += [part] if k % 2 else self._split(part)
             return out
-        return self.pattern.findall(self._plain(text))
+        return self._split(text)
+
+    def _split(self, text: str) -> list[str]:
+        plain = self._plain(text)
+        # str.split() also cuts at four control characters that the vocabulary encodes
+        return plain.split() if not _separators.search(plain) else [w for w in _space.split(plain) if w]
 
     @staticmethod
     def _plain(text: str) -> str:
@@ -160,26 +190,36 @@ class WordBPE:
         # lower-cased character by character: no final sigma
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def _learn(self) -> None:
+        """Encode the words not seen before; those of several pieces are put together from their pieces,
+        which are words like others."""
+        new, first = self.words.new, len(self.lists.start)
+        whole, parts = [], []
+        for at, word in enumerate(new):  # grows as pieces are met
+            if word.isalpha():
+                whole.append(at)
+            elif len(found := self.pattern.findall(word)) == 1 and found[0] == word:
+                whole.append(at)
+            else:
+                parts.append((at, [self.words[p] for p in found]))
+        self.words.new = []
+        flat, count = self.merge([new[at].encode() for at in whole])
+        self.lists.add(flat, count, first + np.array(whole, np.int64))
+        if parts:
+            lengths = np.fromiter((len(x) for _, x in parts), np.int64, len(parts))
+            numbers = np.fromiter(chain.from_iterable(x for _, x in parts), np.int64, int(lengths.sum()))
+            self.lists.add(*self.lists.take(numbers, lengths), first + np.fromiter((x for x, _ in parts), np.int64, len(parts)))
+
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and the number of ids of each."""
-        if len(self.seen) > REMEMBERED:
+        if len(self.words) > REMEMBERED:
             self._start_afresh()
-        get = self.seen.__getitem__
-        numbers = [np.fromiter(map(get, found), np.int64, len(found)) for found in map(self.pieces, batch)]
-        if self.seen.new:
-            flat, count = self.merge([p.encode() for p in self.seen.new])
-            self.seen.new = []
-            self.start = np.r_[self.start, len(self.flat) + np.cumsum(count) - count]
-            self.count = np.r_[self.count, count]
-            self.flat = np.r_[self.flat, flat]
-        lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
-        all_of = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-        counts = self.count[all_of]
-        through = np.cumsum(counts)
-        place = np.repeat(self.start[all_of] - through + counts, counts)
-        place += np.arange(len(place))
-        bounds = np.r_[0, through][np.r_[0, np.cumsum(lengths)]]
-        return self.flat[place], np.diff(bounds)
+        found = list(map(self._words_of, batch))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(found)), np.int64, int(lengths.sum()))
+        if self.words.new:
+            self._learn()
+        return self.lists.take(numbers, lengths)
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings joined by blanks: the file names no decoder."""
