@@ -8,8 +8,8 @@ first and never deeper than L, and groups of one leave after each digit:
    an anchor that occurs once can lie in no repeated window.
 2. The rest of the window. Each occurrence of a shared anchor carries the bytes around it. Among occurrences of an
    anchor, windows at the same offset are ordered by a hash of all L bytes; runs of two or more are the repeated windows.
-   The windows around an anchor with very many occurrences are instead keyed by that hash one by one and counted by a
-   partial aggregation, so that such a group never stands in one task.
+   The windows around an anchor with very many occurrences are instead keyed by that hash one by one, taken once
+   from each batch of texts and counted by a partial aggregation, so that such a group never stands in one task.
 
 Copies of whole texts are found first, and one text of each class takes part.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, mix64, numbered, slices, written
+from .common import bounded_batches, column, mix64, numbered, raw_texts, slices, written
 
 LENGTH, GRAM = 400, 100
 #: Occurrences of an anchor that one task may hold; more are split by digits.
@@ -89,8 +89,8 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rid, at, key = [], [], []
-            for r, raw in zip(column(batch, "rid").to_pylist(), column(batch, "text").cast(pa.binary()).to_pylist(), strict=True):
-                p, h = anchors(np.frombuffer(raw or b"", np.uint8), length, gram)
+            for r, raw in zip(column(batch, "rid").to_pylist(), raw_texts(batch), strict=True):
+                p, h = anchors(np.frombuffer(raw, np.uint8), length, gram)
                 at.append(p)
                 key.append(h)
                 rid.append(np.full(len(p), r, np.int64))
@@ -110,43 +110,74 @@ def _spans(flags: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return row, at[row] - (high - 1), at[row] - low + length
 
 
+CONTEXT, ASK, SHOW, KNOWN = range(4)
+
+
+def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged spans of windows at sorted starts."""
+    cut = np.flatnonzero(np.diff(starts) > length)
+    return starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]] + length
+
+
 def _contexts(shared: DataFrame, rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Each occurrence of a shared anchor with the bytes around it; crowded anchors as single windows instead."""
+    """Each occurrence of a shared anchor with the bytes around it. Around crowded anchors single windows stand
+    instead, each distinct one once a batch: to ASK whether it occurs elsewhere or, where the batch itself
+    repeats it, to SHOW it to others, its spans being KNOWN."""
     wide = length - gram
     places = shared.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "anchor", "crowded"))).alias("places"))
     joined = rows.select("rid", "text").join(places, "rid")
+    kinds = {"kind": pa.int32(), "key": pa.int64(), "rid": pa.int64(), "at": pa.int32(), "stop": pa.int32(), "left": pa.int32(), "bytes": pa.binary()}
+
+    def windows(crowd: list[tuple[int, bytes, np.ndarray]], out: dict[str, list]) -> None:
+        """crowd: rid, text and places of its crowded anchors."""
+        hashes, rids, starts = [], [], []
+        for rid, raw, at in crowd:
+            h = rolling(np.frombuffer(raw, np.uint8), length)
+            near = np.zeros(len(h) + 1, np.int32)
+            np.add.at(near, np.maximum(0, at - wide), 1)
+            np.add.at(near, np.minimum(len(h), at + 1), -1)
+            own = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+            hashes.append(h[own])
+            starts.append(own)
+            rids.append(np.full(len(own), rid))
+        h, rid, start = map(np.concatenate, (hashes, rids, starts))
+        _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        known = count[back] > 1
+        for r in np.unique(rid[known]).tolist():
+            low, high = _runs(start[known & (rid == r)], length)
+            for name, values in (("kind", [KNOWN] * len(low)), ("key", [None] * len(low)), ("rid", [r] * len(low)), ("at", low.tolist()), ("stop", high.tolist())):
+                out[name] += values
+        out["kind"] += np.where(count > 1, SHOW, ASK).tolist()
+        out["key"] += h[first].view(np.int64).tolist()
+        out["rid"] += rid[first].tolist()
+        out["at"] += start[first].tolist()
+        out["stop"] += (start[first] + length).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            out: dict[str, list] = {k: [] for k in ("key", "rid", "at", "stop", "left", "bytes", "one")}
-            for rid, raw, places in zip(column(batch, "rid").to_pylist(), column(batch, "text").cast(pa.binary()).to_pylist(), column(batch, "places").to_pylist(), strict=True):
-                crowd = [p["at"] for p in places if p["crowded"]]
+            out: dict[str, list] = {k: [] for k in kinds}
+            crowd = []
+            for rid, raw, places in zip(column(batch, "rid").to_pylist(), raw_texts(batch), column(batch, "places").to_pylist(), strict=True):
+                dense = np.array([p["at"] for p in places if p["crowded"]], np.int64)
+                if len(dense):
+                    crowd.append((rid, raw, dense))
                 for p in places:
                     if not p["crowded"]:
                         low = max(0, p["at"] - wide)
+                        out["kind"].append(CONTEXT)
                         out["key"].append(p["anchor"])
+                        out["rid"].append(rid)
                         out["at"].append(p["at"])
                         out["stop"].append(0)
                         out["left"].append(p["at"] - low)
                         out["bytes"].append(raw[low : p["at"] + length])
-                        out["one"].append(False)
-                if crowd:
-                    h = rolling(np.frombuffer(raw, np.uint8), length)
-                    near = np.zeros(len(h) + 1, np.int32)
-                    np.add.at(near, np.maximum(0, np.array(crowd) - wide), 1)
-                    np.add.at(near, np.minimum(len(h), np.array(crowd) + 1), -1)
-                    starts = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                    out["key"] += h[starts].view(np.int64).tolist()
-                    out["at"] += starts.tolist()
-                    out["stop"] += (starts + length).tolist()
-                    out["left"] += [0] * len(starts)
-                    out["bytes"] += [None] * len(starts)
-                    out["one"] += [True] * len(starts)
-                out["rid"] += [rid] * (len(out["key"]) - len(out["rid"]))
-            kinds = {"key": pa.int64(), "rid": pa.int64(), "at": pa.int32(), "stop": pa.int32(), "left": pa.int32(), "bytes": pa.binary(), "one": pa.bool_()}
+            if crowd:
+                windows(crowd, out)
+            for name in ("left", "bytes"):
+                out[name] += [None] * (len(out["key"]) - len(out[name]))
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
-    return joined.mapInArrow(run, "key bigint, rid bigint, at int, stop int, left int, bytes binary, one boolean")
+    return joined.mapInArrow(run, "kind int, key bigint, rid bigint, at int, stop int, left int, bytes binary")
 
 
 def _compare(contexts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -206,20 +237,20 @@ def _compare(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 def marked(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """rows (rid, text) -> rid, spans (array of start, end; in bytes, not merged) of texts that have repeated windows."""
     bounded_batches(rows.sparkSession)
-    found = _anchor_rows(rows, length, gram)
-    own = Window.partitionBy("anchor")
-    shared = found.withColumn("n", F.count("*").over(own)).where("n > 1")
-    shared = written(shared.select("anchor", "rid", "at", (F.col("n") > crowd).alias("crowded")))
+    found = written(_anchor_rows(rows, length, gram))
+    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > crowd).alias("crowded"))
+    shared = written(found.join(counts, "anchor"))
     contexts = _contexts(shared, rows, length, gram)
     crowded = not shared.where("crowded").isEmpty()
     if crowded:
         contexts = written(contexts)
-    sparse = contexts.where("NOT one").select("key", "rid", "at", "left", "bytes")
+    sparse = contexts.where(F.col("kind") == CONTEXT).select("key", "rid", "at", "left", "bytes")
     spans = _compare(sparse.repartition("key").sortWithinPartitions("key", "rid", "at"), length, gram)
     if crowded:
-        single = contexts.where("one").select("key", "rid", F.col("at").alias("start"), F.col("stop").alias("end"))
+        single = contexts.where(F.col("kind").isin(ASK, SHOW))
         twice = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        spans = spans.unionAll(single.join(twice, "key").select("rid", "start", "end"))
+        found = single.where(F.col("kind") == ASK).join(twice, "key").unionByName(contexts.where(F.col("kind") == KNOWN))
+        spans = spans.unionAll(found.select("rid", F.col("at").alias("start"), F.col("stop").alias("end")))
     return spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -231,8 +262,8 @@ def _cut(rows: DataFrame, length: int, *, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             sizes, removed, runs, sha, left = [], [], [], [], []
-            for raw, whole, spans in zip(column(batch, "text").cast(pa.binary()).to_pylist(), column(batch, "whole").to_pylist(), column(batch, "spans").to_pylist(), strict=True):
-                raw, merged = raw or b"", []
+            for raw, whole, spans in zip(raw_texts(batch), column(batch, "whole").to_pylist(), column(batch, "spans").to_pylist(), strict=True):
+                merged = []
                 if whole and len(raw) >= length:
                     merged = [[0, len(raw)]]
                 elif spans:
