@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 #: A word is a run without ASCII white space; lower-casing touches A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-ASCII_SPACE = "\t\n\x0b\x0c\r "
-SPACE_TABLE = {ord(c): " " for c in ASCII_SPACE}
 
 #: Bytes that one Arrow batch to or from a Python worker holds; keeps workers small when texts are long.
 BATCH_BYTES = 8 << 20
@@ -96,16 +92,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words of a text."""
-    if text.isascii():
-        lowered = text.lower()
-        # str.split() also cuts at \x1c-\x1f, which the word pattern keeps
-        if not any(c in lowered for c in "\x1c\x1d\x1e\x1f"):
-            return lowered.split()
-    else:
-        lowered = text.translate(ASCII_LOWER)
-    return [w for w in lowered.translate(SPACE_TABLE).split(" ") if w]
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-cased words of a text in UTF-8; bytes.lower and bytes.split know ASCII alone, as the definition does."""
+    return text.lower().split()
+
+
+def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+    """The column as UTF-8; null is the empty text."""
+    return [x or b"" for x in column(batch, name).cast(pa.binary()).to_pylist()]
 
 
 def count_words(text: Column) -> Column:

@@ -7,12 +7,12 @@ counts as frequent comes from a counting sketch of fixed size over all shingles;
 the orders and cannot lose a pair.
 
 1. Prefix shingles under the first order go to one row each; those in one class alone are left out.
-2. Every class is compared with the first class that shares a prefix shingle with it (one pair a class).
-   Pairs must also meet in their prefixes under the other orders before their sets are intersected.
-3. Classes joined by these links form components. For every shingle whose classes lie in different
-   components, all pairs across components are candidates; the candidates under each further order are
-   intersected with them, and the rest is verified. So a group of copies costs about one comparison each,
-   and no link that could join two components is left out.
+2. In every group of classes that share a prefix shingle the first is the pivot, and the others are compared with it if they
+   have met often enough to be similar. Links found so form components.
+3. Shingles whose classes still lie in different components are taken again. The classes that share shingles with a pivot
+   are its cluster; in clusters, block by block, pairs across components that have met often enough are candidates,
+   those that have not under a further order leave, and the rest is verified. A group of copies costs a comparison each,
+   pairs never become rows, and no link that could join two components is left out: the components are those of all links.
 
 Verification sends a text to the pairs of its pivot; pivots with many partners are split by salt.
 
@@ -23,6 +23,7 @@ component_id is the smallest doc_id that is not null; an empty table gives no ro
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +31,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, components, mix64, numbered, slices, texts, words_of, written
+from .common import bounded_batches, column, components, mix64, numbered, raw_texts, slices, words_of, written
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
+#: Sets in a block of a cluster.
+BLOCK = 512
 #: Cells of the frequency sketch (one byte each in a task; one bit each once summed) and its slices.
 CELLS, SLICES = 1 << 24, 64
 #: Partners of a pivot that one salt holds.
@@ -44,46 +47,70 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = [np.uint64(k * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF) for k in range(16)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+class _Words(dict):
+    """word -> number; hashes holds the words' hashes by number."""
 
+    def __init__(self):
+        super().__init__()
+        self.new: list[int] = []
+        self.hashes = np.empty(0, np.uint64)
 
-_hashes = _Hashes()
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(xxhash.xxh3_64_intdigest(word))
+        return number
 
 
-def shingle_sets(batch: list[str], words: int = WORDS) -> list[np.ndarray]:
+_words = _Words()
+
+
+def shingle_sets(batch: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    get = _hashes.__getitem__
-    out = []
-    for text in batch:
-        found = words_of(text)
-        h = np.fromiter(map(get, found), np.uint64, len(found))
-        n = max(1, len(h) - words + 1) if len(h) else 0
-        width = min(words, len(h))
-        total = np.zeros(n, np.uint64)
-        for k in range(width):
-            total = total * BASE + h[k : k + n]
-        total = mix64(total + np.uint64(width))
-        total.sort()
-        out.append(total[np.r_[True, total[1:] != total[:-1]]] if n else total)
+    global _words
+    if len(_words) > 400_000:
+        _words = _Words()
+    get = _words.__getitem__
+    found = [words_of(text) for text in batch]
+    lengths = [len(x) for x in found]
+    numbers = np.fromiter(map(get, itertools.chain.from_iterable(found)), np.int64, sum(lengths))
+    if _words.new:
+        _words.hashes = np.r_[_words.hashes, np.array(_words.new, np.uint64)]
+        _words.new = []
+    h = _words.hashes[numbers]
+    total = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    for k in range(words):
+        total = total * BASE + h[k : k + len(total)]
+    total = mix64(total + np.uint64(words))
+    out, start = [], 0
+    for n in lengths:
+        if n >= words:
+            own = np.sort(total[start : start + n - words + 1])
+            own = own[np.r_[True, own[1:] != own[:-1]]]
+        elif n:
+            own = np.zeros(1, np.uint64)
+            for k in range(start, start + n):
+                own = own * BASE + h[k : k + 1]
+            own = mix64(own + np.uint64(n))
+        else:
+            own = np.empty(0, np.uint64)
+        out.append(own)
+        start += n
     return out
 
 
-def prefix(tokens: np.ndarray, order: int, hot: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
-    """The tokens of a set that come first under one of the global orders, as many as the threshold needs."""
+def prefix(tokens: np.ndarray, order: int, hot: np.ndarray | None, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The tokens of a set that come first under one of the global orders, as many as the threshold needs,
+    and the place of the last of them in the order."""
     n = len(tokens)
     if not n:
-        return tokens
+        return tokens, 0
     length = n - -(-percent * n // 100) + 1
-    rank = mix64(tokens ^ SEEDS[order]) >> np.uint64(1)
+    place = mix64(tokens ^ SEEDS[order]) >> np.uint64(2)
     if hot is not None:
         cell = (tokens & np.uint64(CELLS - 1)).astype(np.int64)
-        rank |= ((hot[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(63)
-    return tokens[np.argpartition(rank, length - 1)[:length]] if length < n else tokens
+        place |= ((hot[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(62)
+    at = np.argpartition(place, length - 1)[:length] if length < n else np.arange(n)
+    return tokens[at], int(place[at].max())
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -98,7 +125,7 @@ def _summaries(rows: DataFrame) -> DataFrame:
         sketch = np.zeros(CELLS, np.uint8)
         names = ["kind", "rid", "n", "key", "blob"]
         for batch in slices(batches, "text"):
-            sets = shingle_sets(texts(batch))
+            sets = shingle_sets(raw_texts(batch))
             keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             if sets:
                 cells, counts = np.unique(np.concatenate(sets) & np.uint64(CELLS - 1), return_counts=True)
@@ -139,36 +166,44 @@ def _frequent(found: DataFrame) -> bytes:
 
 
 def _prefixes(rows: DataFrame, order: int, hot, percent: int) -> DataFrame:
-    """token, rid, n for the prefix of each text under one order."""
+    """token, rid, n, last for the prefix of each text under one order; last is the prefix's end in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(hot.value, np.uint8)
         for batch in slices(batches, "text", 2 << 20):
-            sets = shingle_sets(texts(batch))
+            sets = shingle_sets(raw_texts(batch))
             found = [prefix(x, order, bits, percent) for x in sets]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            lengths = np.fromiter((len(x) for x, _ in found), np.int64, len(found))
             rid = np.repeat(column(batch, "rid").to_numpy(), lengths)
             n = np.repeat(np.fromiter(map(len, sets), np.int32, len(sets)), lengths)
-            tokens = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(rid), pa.array(n)], ["token", "rid", "n"])
+            last = np.repeat(np.fromiter((x for _, x in found), np.int64, len(found)), lengths)
+            tokens = np.concatenate([x for x, _ in found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(rid), pa.array(n), pa.array(last)], ["token", "rid", "n", "last"])
 
-    return rows.select("rid", "text").mapInArrow(run, "token bigint, rid bigint, n int")
+    return rows.select("rid", "text").mapInArrow(run, "token bigint, rid bigint, n int, last bigint")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows whose token occurs in two sets at least, with the token's first rid."""
-    from pyspark.sql import Window
-
+    """The prefix rows whose token occurs in two sets at least."""
     own = Window.partitionBy("token")
-    rows = prefixes.withColumns({"first": F.min("rid").over(own), "last": F.max("rid").over(own)})
-    return written(rows.where("first <> last").drop("last"))
+    rows = prefixes.withColumns({"low": F.min("rid").over(own), "high": F.max("rid").over(own)})
+    return written(rows.where("low <> high").drop("low", "high"))
+
+
+def _possible(percent: int) -> Column:
+    """Whether sets a and b with `met` common prefix tokens can be similar. Of two prefixes, the one that ends first in
+    the order holds no common token that the other lacks, so further ones lie in the rest of its set."""
 
+    def rest(n: Column) -> Column:
+        return F.ceil(percent * n / 100) - 1
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
+    a, b = F.col("na"), F.col("nb")
+    need = F.ceil(percent * (a + b) / (100 + percent))
+    sizes = (100 * a >= percent * b) & (100 * b >= percent * a)
+    return sizes & (F.col("met") + F.when(F.col("la") <= F.col("lb"), rest(a)).otherwise(rest(b)) >= need)
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, hot, percent: int, orders: int) -> DataFrame:
+def _verify(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose sets are similar. Each text goes to its pairs once, and the pivot's text
     once to every salt of at most about SALT pairs."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
@@ -178,20 +213,14 @@ def _verify(pairs: DataFrame, rows: DataFrame, hot, percent: int, orders: int) -
     sent = sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(hot.value, np.uint8)
-        group, first, heads = None, None, None
+        first: np.ndarray | None = None
         for batch in slices(batches, "text", 2 << 20):
             a, b = [], []
-            sets = shingle_sets(texts(batch))
-            salts, roles = column(batch, "salt").to_pylist(), column(batch, "role").to_pylist()
-            for pivot, salt, role, rid, own in zip(column(batch, "pivot").to_pylist(), salts, roles, column(batch, "rid").to_pylist(), sets, strict=True):
+            sets = shingle_sets(raw_texts(batch))
+            for pivot, role, rid, own in zip(*[column(batch, c).to_pylist() for c in ("pivot", "role", "rid")], sets, strict=True):
                 if role == 0:
-                    group, first = (pivot, salt), own
-                    heads = [prefix(own, k, bits, percent) for k in range(1, orders)]
-                    continue
-                assert group == (pivot, salt)
-                meets = all(len(np.intersect1d(head, prefix(own, k, bits, percent), assume_unique=True)) for k, head in enumerate(heads, 1))
-                if meets and similar(first, own, percent):
+                    first = own
+                elif similar(first, own, percent):
                     a.append(pivot)
                     b.append(rid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -199,14 +228,135 @@ def _verify(pairs: DataFrame, rows: DataFrame, hot, percent: int, orders: int) -
     return written(sent.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _across(shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) that share a token and lie in different components."""
-    placed = shared.join(comps, F.col("rid") == F.col("node"), "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("comp"))
+def _unsettled(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of tokens whose sets lie in different components, with the component."""
+    placed = shared.join(comps, F.col("rid") == F.col("node"), "left").select("token", "rid", "n", "last", F.coalesce("component", "rid").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    placed = written(placed.join(mixed, "token", "left_semi"))
-    one, two = placed.select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), placed.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    meet = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent))
-    return written(meet.select("a", "b").distinct())
+    return written(placed.join(mixed, "token", "left_semi"))
+
+
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each set with its tokens' pivots, where they can be similar."""
+    pivots = rows.groupBy("token").agg(F.min("rid").alias("a"))
+    met = rows.join(pivots, "token").where("rid <> a").groupBy("a", F.col("rid").alias("b"))
+    met = met.agg(F.count("*").alias("met"), F.first("n").alias("nb"), F.first("last").alias("lb"))
+    ends = rows.groupBy(F.col("rid").alias("a")).agg(F.first("n").alias("na"), F.first("last").alias("la"))
+    return written(met.join(ends, "a").where(_possible(percent)).select("a", "b"))
+
+
+def _can(met: np.ndarray, n: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
+    """`_possible` for all pairs of a block."""
+    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+    rest = -(-percent * n // 100) - 1
+    rest = np.where(last[:, None] <= last[None, :], rest[:, None], rest[None, :])
+    return (met > 0) & (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None]) & (met + rest >= need)
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two sets of a block share."""
+    n = len(sets)
+    out = np.zeros((n, n), np.int32)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), list(map(len, sets)))
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    stops = np.r_[starts[1:], len(tokens)]
+    pairs = stops - starts == 2
+    np.add.at(out, (owner[starts[pairs]], owner[starts[pairs] + 1]), 1)
+    out += out.T
+    for a, b in zip(starts[stops - starts > 2].tolist(), stops[stops - starts > 2].tolist(), strict=True):
+        out[np.ix_(owner[a:b], owner[a:b])] += 1
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys of a sorted stream."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([column(batch, k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = pa.Table.from_batches([batch.slice(a, b - a)])
+            if held and any(held[-1][k][0].as_py() != part[k][0].as_py() for k in keys):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _remaining(rows: DataFrame, percent: int) -> DataFrame:
+    """Blocks with the sets of which some pair across components can be similar: p, i, j, rid and, on one row of each block,
+    those pairs as places in the block's list of rids.
+
+    A pivot's cluster is all sets that share one of its tokens, so any two sets that share a token meet in a cluster.
+    """
+    pivots = rows.groupBy("token").agg(F.min("rid").alias("p"))
+    member = rows.join(pivots, "token").select("p", "rid").distinct()
+    sizes = member.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = rows.groupBy("rid").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.first("comp").alias("comp"), F.collect_list("token").alias("tokens"))
+    placed = member.join(sizes, "p").join(sets, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    placed = placed.select("p", "i", "j", "rid", "n", "last", "comp", "tokens").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "rid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["p", "i", "j"]):
+            if t.num_rows < 2:
+                continue
+            rid, n, last, comp = (t[c].to_numpy() for c in ("rid", "n", "last", "comp"))
+            lists = t["tokens"].combine_chunks()
+            flat, bounds = np.asarray(lists.values), np.asarray(lists.offsets)
+            met = _common([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            able = np.triu(_can(met, n.astype(np.int64), last, percent) & (comp[:, None] != comp[None, :]))
+            if not able.any():
+                continue
+            kept = np.flatnonzero(able.any(axis=0) | able.any(axis=1))
+            able = able[np.ix_(kept, kept)]
+            m = len(kept)
+            blob = [zlib.compress(np.packbits(able).tobytes(), 1), *[None] * (m - 1)]
+            heads = [pa.array(np.full(m, t[c][0].as_py(), np.int64)) for c in ("p", "i", "j")]
+            yield pa.RecordBatch.from_arrays([*heads, pa.array(rid[kept]), pa.array(blob, pa.binary())], ["p", "i", "j", "rid", "pairs"])
+
+    return written(placed.mapInArrow(run, "p bigint, i bigint, j bigint, rid bigint, pairs binary"))
+
+
+def _settle(blocks: DataFrame, rows: DataFrame, hot, percent: int, orders: int) -> DataFrame:
+    """A forest (a, b) of the similar pairs of each block. Pairs leave when they cannot be similar under one of the
+    further orders; what is left is verified on the whole sets."""
+    sent = blocks.join(rows.select("rid", "text"), "rid").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "rid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(hot.value, np.uint8)
+        for t in _groups(batches, ["p", "i", "j"]):
+            rid, m = t["rid"].to_numpy(), t.num_rows
+            blob = next(x for x in t["pairs"].to_pylist() if x is not None)
+            able = np.unpackbits(np.frombuffer(zlib.decompress(blob), np.uint8), count=m * m).reshape(m, m).astype(bool)
+            sets = shingle_sets([x or b"" for x in t["text"].cast(pa.binary()).to_pylist()])
+            n = np.array([len(x) for x in sets], np.int64)
+            for order in range(1, orders):
+                heads = [prefix(x, order, bits, percent) for x in sets]
+                able &= _can(_common([x for x, _ in heads]), n, np.array([x for _, x in heads]), percent)
+            left = np.flatnonzero(able.any(axis=0) | able.any(axis=1))
+            if not len(left):
+                continue
+            both = _common([sets[k] for k in left])
+            size = n[left]
+            able = able[np.ix_(left, left)] & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+            a, b = np.nonzero(able)
+            root = np.arange(len(left))
+            edges = []
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                if root[x] != root[y]:
+                    edges.append((x, y))
+                    root[root == root[y]] = root[x]
+            at = rid[left]
+            yield pa.RecordBatch.from_arrays([pa.array([int(at[x]) for x, _ in edges], pa.int64()), pa.array([int(at[y]) for _, y in edges], pa.int64())], ["a", "b"])
+
+    return written(sent.mapInArrow(run, "a bigint, b bigint"))
 
 
 def classify(docs: DataFrame, columns: list[str], *, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
@@ -222,22 +372,11 @@ def classify(docs: DataFrame, columns: list[str], *, percent: int = PERCENT, ord
     hot = spark.sparkContext.broadcast(_frequent(found))
     sets = found.where("kind = 0").select("rid", "n", "key")
     classes = written(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid")))
-    first = rows.join(classes.select("rid"), "rid")
-
-    shared = _shared(_prefixes(first, 0, hot, percent))
-    sizes = shared.groupBy("rid").agg(F.min("n").alias("n"), F.min("first").alias("a")).where("a <> rid")
-    whole = shared.groupBy(F.col("rid").alias("a")).agg(F.min("n").alias("na"))
-    pairs = sizes.join(whole, "a").where(_sizes_fit(F.col("n"), F.col("na"), percent)).select("a", F.col("rid").alias("b"))
-    links = _verify(pairs, rows, hot, percent, orders)
-
-    comps = components(links)
-    pairs = _across(shared, comps, percent)
-    for order in range(1, orders):
-        left = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        again = _shared(_prefixes(rows.join(left, "rid"), order, hot, percent))
-        pairs = written(pairs.join(_across(again, comps, percent), ["a", "b"], "left_semi"))
-    links = links.unionAll(_verify(pairs, rows, hot, percent, orders))
-    joined = components(links)
+
+    shared = _shared(_prefixes(rows.join(classes.select("rid"), "rid"), 0, hot, percent))
+    links = _verify(_stars(shared, percent), rows, percent)
+    blocks = _remaining(_unsettled(shared, components(links)), percent)
+    joined = components(links.unionAll(_settle(blocks, rows, hot, percent, orders)))
 
     members = classes.join(joined, F.col("rid") == F.col("node"), "left").select("key", F.coalesce("component", "rid").alias("comp"))
     ids = rows.select("rid", "doc_id").join(sets, "rid").join(members, "key", "left")
