@@ -56,7 +56,11 @@ def _judge(s: Column) -> Column:
         return s[name] / F.when(s["letters"] > 0, s["letters"])
 
     n = F.size(s["words"])
-    scores = F.array(*[(F.size(F.filter(s["words"], lambda w, stops=words.split(): w.isin(stops))) / F.when(n > 0, n)).cast("double") for words in STOP_WORDS.values()])
+
+    def share(stops: list[str]) -> Column:
+        return (F.size(F.filter(s["words"], lambda w: w.isin(stops))) / F.when(n > 0, n)).cast("double")
+
+    scores = F.array(*[share(words.split()) for words in STOP_WORDS.values()])
     by_words = F.element_at(F.transform(F.array(F.struct(scores.alias("all"), F.sort_array(scores, asc=False).alias("down"))), _best), 1)
     out = F.when(s["letters"] == 0, _result("und", 0.0))
     out = out.when(part("kana") > 0.1, _result("ja", F.least(F.lit(1.0), part("kana") + part("han") + 0.3)))
