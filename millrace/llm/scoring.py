@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, column, raw_texts, shared_folder, slices, words_of, written
 
 #: Bytes of text in a chunk; a longer text stands alone.
-CHUNK = 32 << 20
+CHUNK = 10 << 20
 #: Share of all tokens from which on a word has a state; times that a follower must occur; discount.
 SHARE, SUPPORT, DISCOUNT = 5e-5, 2, 0.75
 END = b""
