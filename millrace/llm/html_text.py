@@ -63,23 +63,37 @@ def _hint(name: str, attrs: str) -> int:
 
 
 class _Block:
-    __slots__ = ("linked", "parent", "path", "text", "tag", "prior")
+    __slots__ = ("linked", "path", "tag", "text")
 
-    def __init__(self, text: str, linked: int, path: tuple, prior: int):
-        self.text, self.linked, self.path, self.prior = text, linked, path, prior
-        self.parent, self.tag = path[-1][0] if path else 0, path[-1][1] if path else ""
+    def __init__(self, text: str, linked: int, path: tuple):
+        self.text, self.linked, self.path = text, linked, path
+        self.tag = path[-1][1] if path else ""
 
 
-def _prior(hints: list[int]) -> int:
-    """The innermost container that says something counts most; boilerplate further out still counts."""
+def _prior(path: tuple, wrappers: set[int]) -> int:
+    """What a block's containers say: the innermost one that says something, and boilerplate around it."""
     total, first = 0, True
-    for hint in reversed(hints):
-        if hint:
-            total += hint if first else hint // 2 if hint < 0 else hint // 4
+    for number, _, hint in reversed(path):
+        if hint and not (hint < 0 and number in wrappers):
+            total += hint if first else -200 if hint <= -120 else hint // 2 if hint < 0 else hint // 4
             first = False
     return total
 
 
+def _wrappers(found: list[_Block]) -> set[int]:
+    """Containers around both a heading of the first level and an article or main element: layout, whatever their name."""
+    titled, storied = set(), set()
+    for b in found:
+        inner = False
+        for number, tag, _ in reversed(b.path):
+            if inner:
+                storied.add(number)
+            inner = inner or tag in ("article", "main")
+        if b.tag == "h1":
+            titled.update(number for number, tag, _ in b.path if tag not in TAGS)
+    return titled & storied
+
+
 def blocks(html: str) -> list[_Block]:
     """The page's blocks in order."""
     out: list[_Block] = []
@@ -94,7 +108,7 @@ def blocks(html: str) -> list[_Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(_Block(text, min(linked, len(text)), tuple(stack), _prior([x[2] for x in stack])))
+                out.append(_Block(text, min(linked, len(text)), tuple(stack)))
             parts.clear()
         linked = 0
 
@@ -147,11 +161,11 @@ def blocks(html: str) -> list[_Block]:
 
 def costs(found: list[_Block]) -> list[int]:
     """For each block how much dearer the label boilerplate is than content."""
-    out = []
+    out, wrappers = [], _wrappers(found)
     for b in found:
         n = len(b.text)
         words = b.text.count(" ") + 1
-        score = b.prior + min(words, 30) - 10
+        score = _prior(b.path, wrappers) + min(words, 30) - 10
         if b.linked:
             score -= 60 * b.linked // n
         if b.text[-1] in ".!?…:;\"')”»":

@@ -108,8 +108,9 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit(found: list[np.ndarray], grades: np.ndarray, *, grades_n: int = GRADES, steps: int = 300, decay: float = 2e-4) -> Model:
-    """Penalised likelihood of the cumulative logit model by full-batch Adam; deterministic."""
+def fit(found: list[np.ndarray], grades: np.ndarray, *, grades_n: int = GRADES, steps: int = 300, prior: float = 1.2) -> Model:
+    """Penalised likelihood of the cumulative logit model by full-batch Adam; deterministic. `prior` is the weights'
+    precision, so its pull fades as the sample grows."""
     rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
     cols = np.concatenate(found) if found else np.empty(0, np.int32)
     support = np.bincount(cols, minlength=DIM)
@@ -137,7 +138,7 @@ def fit(found: list[np.ndarray], grades: np.ndarray, *, grades_n: int = GRADES,
             by_theta[j - 1] = (-slope[grades == j, j] / mass[grades == j]).sum() + (slope[grades == j - 1, j] / mass[grades == j - 1]).sum()
         chain = np.r_[by_theta.sum(), [by_theta[j:].sum() * np.exp(p[len(ids) + j]) for j in range(1, k)]]
         g = np.r_[np.bincount(cols, by_score[rows], len(ids)), chain] / n
-        g[: len(ids)] -= decay * p[: len(ids)]
+        g[: len(ids)] -= prior / n * p[: len(ids)]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights = np.zeros(DIM, np.float32)
