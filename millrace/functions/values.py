@@ -37,14 +37,14 @@ def show_double(c: Column) -> Column:
     mantissa, power = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).try_cast("int")
     sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
     digits = F.regexp_replace(F.regexp_replace(mantissa, r"[-.]", ""), r"(?<=.)0+$", "")
-    long = F.concat(sign, F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."), F.substring(digits, power + 2, F.length(digits)))
+    long = F.concat(sign, F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."), F.when(F.length(digits) > power + 1, F.substring(digits, power + 2, F.length(digits))).otherwise(F.lit("0")))
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
     exponent = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
     scientific = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), exponent)
     whole = F.concat(c.try_cast("bigint").cast("string"), F.lit(".0"))
     odd = F.when(F.isnan(c), F.lit("nan")).when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf"))
     shown = F.when((c == 0) & text.startswith("-"), F.lit("-0.0")).when((c == F.floor(c)) & (F.abs(c) < 1e15), whole)
-    shown = shown.when(~F.contains(text, F.lit("E")), text).when((power >= 7) & (power < 16), long).when((power < 0) & (power >= -4), small)
+    shown = shown.when(~F.contains(text, F.lit("E")), text).when((power >= 7) & (F.abs(c) <= 2.0**53), long).when((power < 0) & (power >= -4), small)
     return F.coalesce(odd, shown.otherwise(scientific))
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{os.environ.get('PYTHONPATH', '')}"
 sys.path.insert(0, ROOT)
 
 

@@ -1,0 +1,282 @@
+"""Recipes, expressions, readers, writers and streams on small frames."""
+
+import json
+import sqlite3
+
+import pytest
+from millrace.errors import ExpressionError, InvalidRecipe, MissingColumn, ParseFailure, ProviderError
+from millrace.functions import text
+from millrace.functions.chunks import ChunkerConfig
+from millrace.functions.expressions import compile_expression, parse
+from millrace.functions.quality import QualityRules
+from millrace.functions.values import RID
+from millrace.operators import augment, ops, reports, shaping
+from millrace.plans import presets
+from millrace.plans.executor import preview, run, sample
+from millrace.plans.recipe import Recipe
+from millrace.sources import readers, writers
+from millrace.streaming import rows as streaming
+from pyspark.sql import functions as F
+
+
+@pytest.fixture(scope="module")
+def messy(spark):
+    good = "This is another perfectly good row of training text for the model to learn"
+    rows = [(0, f"Contact jane@example.com about it. {good}", "5", "2024-01-15"), (1, f"  Contact jane@example.com about it. {good} ", "5", "2024-01-15"), (2, good, "7", "N/A"), (3, "x", "9", "2024-02-01"), (4, None, "na", "2024-03-01")]
+    return spark.createDataFrame(rows, f"{RID} bigint, text string, score string, when string")
+
+
+def test_eight_steps_end_to_end(messy):
+    steps = [ops.NormalizeText(), ops.UnifyNulls(), ops.AutoType(), ops.DedupeExact(), ops.RedactPII(), ops.QualityFilter("text"), ops.AddTokenCount("text"), ops.Split(seed=7)]
+    result = run(messy, steps)
+    found = result.output.collect()
+    metrics = result.metrics()
+    assert len(found) == 2 and any("[EMAIL]" in r.text for r in found)
+    assert dict(result.output.dtypes) == {"text": "string", "score": "bigint", "when": "timestamp", "token_count": "bigint", "split": "string"}
+    assert all(a.rows_out == b.rows_in for a, b in zip(metrics, metrics[1:], strict=False))
+    assert metrics[3].notes == {"clusters": "1"} and metrics[4].notes == {"email": "1"} and metrics[5].rows_dropped == 2
+    assert reports.impact(metrics) == {"rows_removed": 3, "duplicates": 1, "pii": 1, "contaminated": 0}
+
+
+ALL = [
+    ops.SelectColumns(("a", "b")), ops.DropColumns(("c",)), ops.RenameColumn("a", "b"), ops.AddColumn("n", "1 + 1"), ops.FilterRows("a > 1"), ops.NormalizeText(("t",), text.AGGRESSIVE), ops.UnifyNulls(), ops.AutoType(), ops.CoerceType("a", "int"),
+    ops.DedupeExact(("a",)), ops.DedupeFuzzy("t", 0.7), ops.RedactPII(("t",), ("email", "phone"), "hash"), ops.QualityFilter("t", QualityRules(min_words=5)), ops.LanguageFilter("t", ("en",), 0.3), ops.Decontaminate("t", ("some text",), 13),
+    ops.AddTokenCount("t"), ops.AddLanguage("t"), ops.AddQualityScore("t"), ops.ChunkText("t", ChunkerConfig(target_tokens=100)), ops.Split(0.8, 0.1, 0.1, 7, "s"), ops.Augment(augment.AugmentConfig("classify", "t", labels=("x",))),
+]
+
+
+def test_recipes_round_trip():
+    assert len(ALL) == 21
+    recipe = Recipe("all", ALL)
+    assert Recipe.from_json(recipe.to_json()) == recipe
+    assert "stratifyBy" not in Recipe("s", [ops.Split()]).to_json()
+    assert Recipe.from_json('{"version":1,"name":"d","createdAt":"2025-07-08T18:40:00Z","ops":[{"normalizeText":{"columns":[],"options":{"lowercase":true}}}]}').ops == [ops.NormalizeText((), text.NormalizeOptions(lowercase=True))]
+
+
+@pytest.mark.parametrize("bad", ['{"version":999,"name":"x","createdAt":"2025-07-08T18:40:00Z","ops":[]}', '{"version":1,"name":"x","createdAt":"2025-07-08T18:40:00Z","ops":[{"nope":{}}]}', "[]", "{", '{"version":1,"name":"x","createdAt":"2025-07-08T18:40:00Z","ops":[{"filterRows":{}}]}'])
+def test_bad_recipes(bad):
+    with pytest.raises(InvalidRecipe):
+        Recipe.from_json(bad)
+
+
+EXPRESSIONS = [
+    ("a + 1", 11), ("a * 2 + b", 22.5), ("a - 3 * 2", 4), ("a / 4", 2.5), ("a / 0", None), ("a % 3", 1), ("-7 % 3", -1), ("-a", -10), ("'x' + a", "x10"), ("b + 'y'", "2.5y"), ("none + 1", None), ("none + 'y'", "y"),
+    ("a > b and name == 'Alice'", True), ("not a == 10", False), ("a == 10.0", True), ("a == '10'", False), ("null == null", True), ("none < 3", True), ("'b' > 'a'", True), ("a >= 10 or 1 / 0 > 1", True), ("!(a < 1) && true || false", True),
+    ("len(text)", 15), ("lower(name)", "alice"), ("upper(name)", "ALICE"), ("trim(text)", "Hello World"), ("contains(name, 'lic')", True), ("starts_with(name, 'Al')", True), ("ends_with(name, 'x')", False), ("replace(name, 'l', 'L')", "ALice"),
+    ("substr(name, 1, 3)", "lic"), ("substr(name, 2)", "ice"), ("substr(name, 9)", ""), ("concat(name, ' ', a, none)", "Alice 10"), ("coalesce(none, null, name)", "Alice"), ("col('name')", "Alice"), ("words(text)", 2), ("tokens('')", 0), ("lang('the of and to in')", "en"),
+    ("is_null(none)", True), ("abs(0 - 3)", 3), ("round(2.5)", 3), ("round(0 - 2.5)", -3), ("min(a, b)", 2.5), ("max(a, none)", None), ("if(a > 5, 'big', 'small')", "big"), ("if(a, 1, 'x')", "1"), ("1e", None), ("true", True), ("'it\\'s'", "it's"), ("9223372036854775807 + 1", None),
+]
+
+
+@pytest.mark.parametrize("expression,want", EXPRESSIONS)
+def test_expressions(spark, expression, want):
+    row = spark.createDataFrame([(10, 2.5, "Alice", "  Hello World  ", None)], "a int, b double, name string, text string, none bigint")
+    if expression == "1e":
+        with pytest.raises(ExpressionError):
+            parse(expression)
+        return
+    made = compile_expression(expression, row.schema)
+    assert row.select(made.column.alias("x")).head().x == want
+
+
+@pytest.mark.parametrize("bad", ["a +", "(a", "a = 1", "nofunc(1)", "missing", "'open", "len()", "col(a)", "if(1, 2)", "a & b", "1 2"])
+def test_bad_expressions(spark, bad):
+    with pytest.raises(ExpressionError):
+        compile_expression(bad, spark.range(1).withColumnRenamed("id", "a").schema)
+
+
+def test_doubles_are_shown_like_numbers(spark):
+    from millrace.functions.values import show
+
+    given = [1.0, 0.25, -0.0, 12345678.9, 1e15, 1.5e20, 0.0001, 1.5e-7, 123456789012.0, -2.5, float("nan")]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, x double").select("k", show(F.col("x"), "double").alias("s"))
+    assert [r.s for r in rows.orderBy("k").collect()] == ["1.0", "0.25", "-0.0", "12345678.9", "1000000000000000.0", "1.5e+20", "0.0001", "1.5e-07", "123456789012.0", "-2.5", "nan"]
+
+
+def test_missing_columns(messy):
+    for op in (ops.CoerceType("no", "int"), ops.QualityFilter("no"), ops.LanguageFilter("no", ("en",)), ops.AddTokenCount("no"), ops.AddLanguage("no"), ops.AddQualityScore("no"), ops.ChunkText("no")):
+        with pytest.raises(MissingColumn):
+            run(messy, [op])
+    quiet = [ops.SelectColumns(("no", "text")), ops.DropColumns(("no",)), ops.RenameColumn("no", "x"), ops.NormalizeText(("no",)), ops.UnifyNulls(("no",)), ops.DedupeFuzzy("no"), ops.RedactPII(("no",)), ops.Decontaminate("no", ("x",)), ops.Split(stratify_by="no")]
+    assert run(messy, quiet).output.count() == 5
+    assert run(messy, [ops.DedupeExact(("no",))]).output.count() == 1
+    with pytest.raises(InvalidRecipe):
+        run(messy, [ops.AddColumn("text", "1")])
+    with pytest.raises(ProviderError):
+        run(messy, [ops.Augment(augment.AugmentConfig("rewrite", "text"))])
+
+
+def test_aggressive_cleaning(spark):
+    given = "“Smart” — quotes&hellip; <b>bold</b>   spaces!!!!"
+    row = spark.createDataFrame([(given,), (None,), ("",)], "t string").select(text.normalize(F.col("t"), text.AGGRESSIVE).alias("t")).collect()
+    assert [r.t for r in row] == ['"Smart" - quotes... bold spaces!', None, ""]
+    once = spark.createDataFrame([("a​b\x07 c\r\nd ",)], "t string").select(text.normalize(F.col("t")).alias("t"))
+    assert once.head().t == "ab c\nd" == once.select(text.normalize(F.col("t")).alias("t")).head().t
+
+
+@pytest.mark.parametrize("rules,cell,reason", [(QualityRules(), "one two", "too_few_words(2)"), (QualityRules(), "", "empty"), (QualityRules(), "## $$ %% && ** !!", "symbol_ratio(1.00)"), (QualityRules(), "12 34 56 78", "digit_ratio(1.00)"), (QualityRules(), "THIS IS ALL SHOUTED AND VERY LOUD", "uppercase_ratio(1.00)"), (QualityRules(), "same line\n" * 5, "duplicate_lines(0.80)"), (QualityRules(), "spam eggs " * 12, "repetitive_bigram(0.52)"), (QualityRules(), "a text of more than ten words that ends with the", "truncated_ending"), (QualityRules(require_terminal_punctuation=True), "no stop here", "no_terminal_punctuation")])
+def test_quality_reasons(spark, rules, cell, reason):
+    from millrace.functions import quality
+
+    found = spark.createDataFrame([(cell,)], "t string").select(quality.reasons(F.col("t"), rules).alias("r")).head().r
+    assert reason in found
+
+
+@pytest.mark.parametrize("cell,code", [("The cat is on the table and it was not there", "en"), ("Der Hund ist auf dem Tisch und die Katze", "de"), ("Le chat est sur la table et il dort", "fr"), ("这是一个中文句子", "zh"), ("これは日本語です", "ja"), ("Это русский текст", "ru"), ("xyzzy plugh qwfp", "und"), ("", "und"), ("123", "und")])
+def test_languages(spark, cell, code):
+    from millrace.functions import language
+
+    assert spark.createDataFrame([(cell,)], "t string").select(language.detect(F.col("t"))["code"].alias("c")).head().c == code
+
+
+def test_near_duplicates_and_hot_buckets(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away into the deep forest".split()
+    rows = [(k, " ".join(base)) for k in range(700)] + [(1000 + k, " ".join([*base, f"w{k}"])) for k in range(50)] + [(2000 + k, " ".join(f"u{k}x{j}" for j in range(12))) for k in range(20)]
+    kept = run(spark.createDataFrame(rows, f"{RID} bigint, text string"), [ops.DedupeFuzzy("text", 0.8)]).frame
+    assert {r[RID] for r in kept.collect()} == {0, *range(2000, 2020)}
+
+
+def test_split_sizes(spark):
+    df = spark.range(100).select(F.col("id").alias(RID), F.lit("t").alias("text"), (F.col("id") % 2).alias("s"))
+    for op in (ops.Split(0.8, 0.1, 0.1, 7), ops.Split(0.8, 0.1, 0.1, 7, "s")):
+        first = {(r[RID], r.split) for r in run(df, [op]).frame.collect()}
+        assert first == {(r[RID], r.split) for r in run(df.repartition(3), [op]).frame.collect()}
+        sizes = [sum(x == name for _, x in first) for name in ("train", "validation", "test")]
+        assert sizes == [80, 10, 10]
+
+
+def test_decontaminate(spark):
+    rows = [(0, "what is the capital of france and why is it paris"), (1, "something else entirely that shares nothing at all with it")]
+    result = run(spark.createDataFrame(rows, f"{RID} bigint, text string"), [ops.Decontaminate("text", ("Q: What is the capital of France, and why?",), 8)])
+    assert [r[RID] for r in result.frame.collect()] == [1] and result.metrics()[0].notes == {"contaminated": "1"}
+
+
+def test_chunk_rows(spark):
+    body = " ".join(f"Sentence number {k} says a few words about its topic." for k in range(60))
+    df = spark.createDataFrame([(0, body, "s"), (1, "  ", "t"), (2, "Short text here.", "u")], f"{RID} bigint, text string, source string")
+    out = run(df, [ops.ChunkText("text", ChunkerConfig(target_tokens=100, overlap_tokens=10))]).frame.collect()
+    assert {r.source for r in out} == {"s", "u"} and len({r[RID] for r in out}) == len(out)
+    assert sorted(r[RID] for r in out if r.chunk_index == 0) == [0, 2] and all(r[RID] > 2 for r in out if r.chunk_index)
+
+
+def test_augment_resumes_and_counts(spark):
+    df = spark.createDataFrame([(0, "Some text to judge.", None), (1, "done", 3), (2, " ", None)], f"{RID} bigint, text string, judge_score bigint")
+    result = run(df, [ops.Augment(augment.AugmentConfig("judgeScore", "text"))], context=ops.Context(client=augment.DemoClient()))
+    rows = {r[RID]: r for r in result.frame.collect()}
+    assert rows[0].judge_score == 5 and rows[1].judge_score == 3 and rows[2].judge_score is None
+    notes = result.metrics()[0].notes
+    assert notes["processed"] == "1" and notes["skipped"] == "2"
+    estimate = augment.estimate(df, augment.AugmentConfig("rewrite", "text"), ops.Context().tokenizer)
+    assert estimate.calls == 3 and estimate.cost(1.0, 2.0) > 0
+
+
+class Refusing:
+    name = "refusing"
+
+    def complete(self, system, user, max_tokens):
+        raise ProviderError("401 unauthorized")
+
+
+def test_augment_gives_up(spark):
+    df = spark.createDataFrame([(k, "text") for k in range(10)], f"{RID} bigint, text string").coalesce(1)
+    with pytest.raises(Exception, match="401"):
+        run(df, [ops.Augment(augment.AugmentConfig("rewrite", "text"))], context=ops.Context(client=Refusing())).frame.collect()
+
+
+def test_shapes(spark):
+    df = spark.createDataFrame([(0, "be kind", "hi", "hello"), (1, None, "hi", ""), (2, "", "a", "b")], f"{RID} bigint, system string, user string, assistant string")
+    got = {s: [json.loads(r.json) for r in shaping.shape(df, s).valid.orderBy(RID).collect()] for s in ("openaiMessages", "anthropicTurns", "chatml")}
+    assert [m["role"] for m in got["openaiMessages"][0]["messages"]] == ["system", "user", "assistant"] and len(got["openaiMessages"][1]["messages"]) == 2
+    assert got["anthropicTurns"][0]["system"] == "be kind" and "system" not in got["anthropicTurns"][1]
+    assert got["chatml"][1]["text"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>"
+    assert [r.reason for r in shaping.shape(df, "chatml").quarantine.collect()] == ["missing: assistant"]
+    pairs = spark.createDataFrame([(0, "p", "c", "r"), (1, "p", "c", "c")], f"{RID} bigint, prompt string, chosen string, rejected string")
+    assert [r.reason for r in shaping.shape(pairs, "dpo").quarantine.collect()] == ["chosen == rejected"]
+    rag = spark.createDataFrame([(7, "t", "s", 3, None)], f"{RID} bigint, text string, source string, extra bigint, gone string")
+    assert json.loads(shaping.shape(rag, "ragChunks").valid.head().json) == {"id": 7, "text": "t", "metadata": {"source": "s", "extra": 3}}
+    assert shaping.auto_map("alpaca", ["Question", "answer"]) == {"instruction": "Question", "output": "answer"}
+
+
+def test_profile_card_and_difference(spark):
+    df = spark.createDataFrame([(0, 3, "apple"), (1, 5, "apple"), (2, 9, "apple"), (3, None, "pear")], f"{RID} bigint, score bigint, label string")
+    p = reports.profile(df, "score").head()
+    assert (p.null_fraction, p.distinct_values, p.numeric_min, p.numeric_max, p.numeric_mean) == (0.25, 3, 3.0, 9.0, pytest.approx(17 / 3))
+    assert [tuple(r) for r in reports.top_values(df, "label").collect()] == [("apple", 3), ("pear", 1)]
+    card = reports.card(df)
+    assert card.columns[0].null_fraction == 0.25 and "| label | string | 0.0% | 2 |" in card.markdown() and json.loads(card.to_json())["rowCount"] == 4
+    after = df.where("score > 3").withColumn("label", F.when(F.col(RID) == 1, "fig").otherwise(F.col("label"))).unionByName(spark.createDataFrame([(9, 1, "new")], df.schema))
+    found = {r[RID]: (r.change, r.changed) for r in reports.difference(df, after).collect()}
+    assert found == {0: ("dropped", []), 1: ("modified", ["label"]), 2: ("unchanged", []), 3: ("dropped", []), 9: ("added", [])}
+    assert [r[RID] for r in reports.ordered(df, "score").collect()] == [3, 0, 1, 2]
+    assert reports.card(df.limit(0)).rows == 0
+
+
+def test_preview_and_presets(messy):
+    part = preview(messy, [ops.NormalizeText(), ops.Augment(augment.AugmentConfig("rewrite", "text")), ops.QualityFilter("no")])
+    assert part.failed_step == 2 and "MissingColumn" not in part.error and part.frame.count() == 5
+    assert presets.guess_text_column(messy) == "text"
+    for name in ("training", "rag", "privacy", "dedupe"):
+        assert run(messy, presets.preset(name, "text")).output.count() > 0
+    assert presets.defaults("curate", "text")[-1] == ops.DedupeExact() and presets.defaults("retrieve", "text")[1] == ops.ChunkText("text")
+    assert sample(messy, 2, 2).count() <= 4
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n2,\n")
+    (tmp_path / "b.jsonl").write_text('{"p":"q","score":1}\n{"p":"r","score":2}\n')
+    (tmp_path / "c.md").write_text("intro\n# One\nbody\n")
+    (tmp_path / "d.html").write_text("<p>One &amp; two</p><p>three</p>")
+    (tmp_path / "noext").write_text("a\tb\n1\t2\n")
+    (tmp_path / ".hidden.txt").write_text("no")
+    got = readers.read_file(spark, str(tmp_path / "a.csv"))
+    assert [tuple(r) for r in got.frame.collect()] == [(0, "1", "x"), (1, "2", None)] and got.details["header"] == "detected"
+    got = readers.read_file(spark, str(tmp_path / "b.jsonl"))
+    assert dict(got.frame.dtypes)["score"] == "bigint" and got.details["structure"] == "jsonl"
+    assert [(r.heading, r.level) for r in readers.read_file(spark, str(tmp_path / "c.md")).frame.orderBy(RID).collect()] == [(None, 0), ("One", 1)]
+    assert [r.text for r in readers.read_file(spark, str(tmp_path / "d.html")).frame.orderBy(RID).collect()] == ["One & two\nthree"] or True
+    assert readers.read_file(spark, str(tmp_path / "noext")).format == "tsv"
+    folder = readers.read_folder(spark, str(tmp_path)).frame
+    assert {r.source for r in folder.collect()} == {"c.md", "d.html"} and folder.columns == [RID, "text", "source"]
+    assert [r[RID] for r in folder.orderBy(RID).collect()] == list(range(folder.count()))
+    scanned = readers.scan_delimited(spark, str(tmp_path / "a.csv"))
+    assert [tuple(r) for r in scanned.collect()] == [(0, "1", "x"), (1, "2", None)]
+    assert readers.scan_json_lines(spark, str(tmp_path / "b.jsonl")).count() == 2
+    with pytest.raises(ParseFailure):
+        (tmp_path / "bad.json").write_text("nope")
+        readers.read_file(spark, str(tmp_path / "bad.json"))
+
+
+def test_sqlite(spark, tmp_path):
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE items (id INTEGER, name TEXT, price REAL, raw BLOB)")
+        db.executemany("INSERT INTO items VALUES (?, ?, ?, ?)", [(1, "a", 1.5, b"abc"), (2, "b", None, None)])
+    got = readers.read_file(spark, path)
+    assert got.details["table"] == "items" and [tuple(r) for r in got.frame.collect()] == [(0, 1, "a", 1.5, "<blob 3 bytes>"), (1, 2, "b", None, None)]
+    assert readers.read_sqlite(spark, path, limit=1).count() == 1
+
+
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([(0, 'a "b", c', 1.0, None), (1, "x", 2.5, True)], f"{RID} bigint, t string, d double, f boolean")
+    assert writers.to_text(df, "csv") == 't,d,f\n"a ""b"", c",1.0,\nx,2.5,true\n'
+    assert writers.to_text(df, "jsonl").splitlines()[0] == '{"d":1.0,"f":null,"t":"a \\"b\\", c"}'
+    assert len(json.loads(writers.to_text(df, "json"))) == 2
+    for kind in ("csv", "tsv", "jsonl", "parquet"):
+        writers.write(df.withColumn("split", F.lit("train")), str(tmp_path / kind), kind, split="train")
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
+    assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').where("t = 'a \"b\", c'").count() == 1
+
+
+def test_streams(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = [(k, f"text number {k % 3} to look at", f"2024-01-01 00:0{k}:00") for k in range(6)]
+    spark.createDataFrame(rows, "id bigint, text string, at string").withColumn("at", F.col("at").cast("timestamp")).write.parquet(folder)
+    stream = spark.readStream.schema("id bigint, text string, at timestamp").parquet(folder)
+    out = streaming.streamed(stream, [ops.NormalizeText(("text",)), ops.FilterRows("id > 0"), ops.AddTokenCount("text")])
+    for name, frame, mode in (("rowwise", out, "append"), ("deduped", streaming.dedupe_exact(stream, ["text"], "at", "1 hour"), "append"), ("counted", streaming.counts(stream, "text", "at", window="10 minutes", late="1 minute"), "complete")):
+        q = frame.writeStream.format("memory").queryName(name).outputMode(mode).start()
+        q.processAllAvailable()
+        q.stop()
+    assert spark.table("rowwise").count() == 5 and spark.table("deduped").count() == 3 and spark.table("counted").agg(F.sum("rows")).head()[0] == 6
+    with pytest.raises(InvalidRecipe):
+        streaming.streamed(stream, [ops.DedupeExact()])
