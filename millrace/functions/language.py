@@ -42,10 +42,16 @@ def _result(code: str | Column, confidence: float | Column) -> Column:
 def detect(text: Column) -> Column:
     """struct(code, confidence). Equal scores go to the language first in the alphabet."""
     sample = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE)
-    # the parts are named once and read many times
+    other = sample.rlike(r"[^\x{00}-\x{24F}]")
+    some = F.when(sample.rlike(r"\p{IsAlphabetic}"), F.lit(1.0)).otherwise(F.lit(0.0))
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(sample, F.lit(pattern)).cast("double")
+
+    # in a text without other scripts every letter is Latin: only shares matter
     state = F.struct(
-        F.regexp_count(sample, F.lit(r"\p{IsAlphabetic}")).cast("double").alias("letters"),
-        *[F.regexp_count(sample, F.lit(rf"[\p{{IsAlphabetic}}&&[{chars}]]")).cast("double").alias(name) for name, chars in SCRIPTS.items()],
+        F.when(other, count(r"\p{IsAlphabetic}")).otherwise(some).alias("letters"),
+        *[F.when(other, count(rf"[\p{{IsAlphabetic}}&&[{chars}]]")).otherwise(some if name == "latin" else F.lit(0.0)).alias(name) for name, chars in SCRIPTS.items()],
         F.filter(F.split(F.lower(sample), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "").alias("words"),
     )
     return F.element_at(F.transform(F.array(state), _judge), 1)

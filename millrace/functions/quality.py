@@ -61,8 +61,9 @@ def reasons(text: Column, rules: QualityRules = STANDARD) -> Column:
         state = F.struct(
             words.alias("words"),
             lines.alias("lines"),
-            F.regexp_count(t, F.lit(r"[^\s\p{Z}\x{85}]")).alias("signs"),
-            F.regexp_count(t, F.lit(r"[\p{L}\p{M}]")).alias("letters"),
+            # letters are most of a text: they are what is left of it
+            (F.length(t) - F.regexp_count(t, F.lit(r"[\s\p{Z}\x{85}]"))).alias("signs"),
+            F.regexp_count(t, F.lit(r"[^\p{L}\p{M}\p{N}\s\p{Z}\x{85}]")).alias("symbols"),
             F.regexp_count(t, F.lit(r"\p{N}")).alias("digits"),
             F.regexp_count(t, F.lit(r"\p{Lu}")).alias("uppers"),
         )
@@ -75,9 +76,9 @@ def _rules(t: Column, s: Column, rules: QualityRules) -> Column:
     n = F.size(s["words"])
     letters_of_words = F.aggregate(s["words"], F.lit(0), lambda a, w: a + F.length(w))
     mean = letters_of_words / F.when(n > 0, n)
-    signs = F.when(s["signs"] > 0, s["signs"])
-    symbol, digit, alpha = (s["signs"] - s["letters"] - s["digits"]) / signs, s["digits"] / signs, s["letters"] / signs
-    upper = s["uppers"] / F.when(s["letters"] > 20, s["letters"])
+    signs, letters = F.when(s["signs"] > 0, s["signs"]), s["signs"] - s["symbols"] - s["digits"]
+    symbol, digit, alpha = s["symbols"] / signs, s["digits"] / signs, letters / signs
+    upper = s["uppers"] / F.when(letters > 20, letters)
     duplicate = F.when(F.size(s["lines"]) >= 4, F.lit(1.0) - F.size(F.array_distinct(s["lines"])) / F.size(s["lines"]))
     lower = F.transform(s["words"], lambda w: F.lower(w))
     bigram = F.when(n >= 20, top_bigram(lower) / (n - 1))

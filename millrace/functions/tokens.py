@@ -29,12 +29,18 @@ class Tokenizer(Protocol):
 
 
 def estimate(text: Column) -> Column:
-    """About four letters or two digits and signs a token; one for each CJK character; spaces add a little."""
-    wide = F.regexp_count(text, F.lit(f"[{CJK}]"))
-    spaces = F.regexp_count(text, F.lit(r"[ \t\n\r]"))
-    letters = F.regexp_count(text, F.lit(rf"[\p{{IsAlphabetic}}&&[^{CJK}0-9]]"))
-    rest = F.length(text) - wide - spaces - letters
-    total = letters / 4.0 + spaces * 0.08 + wide + rest / 2.0
+    """About four letters or two digits and signs a token; one for each CJK character; spaces add a little.
+
+    Spaces and signs are counted, being few; letters are what is left.
+    """
+    wide = F.when(text.rlike(f"[{CJK}]"), F.regexp_count(text, F.lit(f"[{CJK}]"))).otherwise(F.lit(0))
+    plain = text
+    for c in " \t\n\r":
+        plain = F.replace(plain, F.lit(c))
+    spaces = F.octet_length(text) - F.octet_length(plain)
+    signs = F.regexp_count(text, F.lit(rf"[^\p{{IsAlphabetic}} \t\n\r{CJK}]|[0-9]"))
+    letters = F.length(text) - wide - spaces - signs
+    total = letters / 4.0 + spaces * 0.08 + wide + signs / 2.0
     count = F.greatest(F.lit(1), F.floor(total + 0.5)).cast("bigint")
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(count)
 

@@ -188,8 +188,8 @@ class CoerceType:
 class DedupeExact:
     """The first row of those that show alike in the columns stays.
 
-    Keys are grouped with partial aggregation and the rows that stay are found by a semi join, so a key that most
-    rows share does not gather in one task.
+    The first row is carried through a partial aggregation, so the frame is computed once and a key that most
+    rows share reaches its task as one row from each partition.
     """
 
     columns: tuple[str, ...] = ()
@@ -197,9 +197,10 @@ class DedupeExact:
     def apply(self, df: DataFrame, ctx: Context) -> Step:
         names = [c for c in (self.columns or columns_of(df)) if c in columns_of(df)]
         key = F.sha2(F.concat_ws("\x1f", F.lit(""), *[shown(df, c) for c in names]), 256)
-        groups = df.select(key.alias("__key"), RID).groupBy("__key").agg(F.min(RID).alias(RID), F.count("*").alias("__copies"))
-        out = df.join(groups.select(RID, "__copies"), RID)
-        return Step(out, {"clusters": F.coalesce(F.sum((F.col("__copies") > 1).cast("bigint")), F.lit(0))}, lambda x: x.select(*df.columns))
+        row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+        first = df.groupBy(key.alias("__key")).agg(F.min_by(row, RID).alias("__row"), F.count("*").alias("__copies"))
+        copies = F.coalesce(F.sum((F.col("__copies") > 1).cast("bigint")), F.lit(0))
+        return Step(first, {"clusters": copies}, lambda x: x.select(*[F.col("__row")[f"c{k}"].alias(c) for k, c in enumerate(df.columns)]))
 
 
 @dataclass(frozen=True)

@@ -47,6 +47,12 @@ def written(df: DataFrame, *, partitions_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(root)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has fewer partitions than the cluster has cores, as small files do; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for every node, component being the
     smallest node that can be reached.

@@ -11,6 +11,7 @@ from .functions import chunks, language, pii, quality, text
 from .functions.values import RID
 from .operators import augment, fuzzy, ops, reports, shaping
 from .plans.executor import run, sample
+from .plans.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
     """A driver table with its key as the row id."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages", "conversations"):  # long texts: work for every core
+        df = spread(df)
     return df.withColumn(RID, F.col(key).cast("bigint")) if key else df
 
 
