@@ -99,17 +99,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 def near_duplicates(texts: DataFrame, threshold: float) -> DataFrame:
     """rid and component (the smallest rid that confirmed pairs reach) of texts (_rid, text)."""
     sets = written(_sets(texts, bands(threshold)))
-    classes = sets.groupBy("grams").agg(F.min("rid").alias("class"))
-    member = written(sets.select("rid", "grams").join(classes, "grams").select("rid", "class"))
+    key = F.sha2(F.to_json("grams"), 256)
+    classes = written(sets.groupBy(key.alias("set")).agg(F.min("rid").alias("class")))
+    member = written(sets.select("rid", key.alias("set")).join(classes, "set").select("rid", "class"))
     first = written(sets.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi").where(F.size("grams") > 0))
     places = first.select("rid", F.posexplode("keys").alias("band", "key"))
-    pivots = places.groupBy("band", "key").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a <> z").drop("z")
+    pivots = written(places.groupBy("band", "key").agg(F.min("rid").alias("a"), F.max("rid").alias("z")).where("a <> z").drop("z"))
     buckets = written(places.join(pivots, ["band", "key"]))
     links = _confirmed(buckets.where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), first, threshold)
     comps = components(links)
     placed = buckets.join(comps, F.col("rid") == F.col("node"), "left").select("band", "key", "rid", F.coalesce("component", "rid").alias("comp"))
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band", "key")
-    placed = placed.join(mixed, ["band", "key"], "left_semi")
+    placed = written(placed.join(written(mixed), ["band", "key"], "left_semi"))
     one = placed.select("band", "key", F.col("rid").alias("a"), F.col("comp").alias("ca"))
     two = placed.select("band", "key", F.col("rid").alias("b"), F.col("comp").alias("cb"))
     pairs = one.join(two, ["band", "key"]).where("a < b AND ca <> cb").select("a", "b").distinct()

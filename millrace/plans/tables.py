@@ -58,16 +58,17 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node that can be reached.
 
     Alternates large-star and small-star steps until the edges no longer change; every step is a partial
-    aggregation and a join, and is written to the shared folder. Duplicates of an edge do no harm.
+    aggregation and a join, and is written to the shared folder. Minima are written before they are joined, so both sides of
+    a join are plain shuffles and a node with very many edges can be split. Duplicates of an edge do no harm.
     """
     star = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).cast("string"), F.lit(""))
     seen = None
     while True:
         both = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         star = written(small.where("u <> v").distinct())
         now = star.agg(F.count("*"), mark).head()
