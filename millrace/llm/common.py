@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +11,10 @@ import pyarrow.compute  # noqa: F401  makes pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import components, shared_folder, spread, written
+
+__all__ = ["BATCH_BYTES", "bounded_batches", "column", "components", "count_words", "load", "mix64", "numbered", "raw_texts", "shared_folder", "slices", "spread", "texts", "words_of", "written"]
+
 #: A word is a run without ASCII white space; lower-casing touches A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,43 +22,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
-_made: dict[str, SparkSession] = {}
-
-
-def _clean_up() -> None:
-    for root, spark in _made.items():
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session has ended: nothing can be reached any more
-            return
-
-
-atexit.register(_clean_up)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's spark.checkpoint.dir, deleted when the driver ends.
-
-    Only where that setting is absent (tests on one machine) a temporary folder stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-    _made[root] = spark
-    return root
-
-
-def written(df: DataFrame, *, partitions_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage ends there,
-    and neither a lost executor nor a retried task can change what later steps see."""
-    spark = df.sparkSession
-    root = shared_folder(spark)
-    writer = df.write.option("compression", "zstd")
-    if partitions_by:
-        writer = writer.partitionBy(*partitions_by)
-    writer.parquet(root)
-    return spark.read.schema(df.schema).parquet(root)
-
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what an Arrow batch holds, unless the session's owner has chosen bounds."""
@@ -107,14 +72,6 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-class Numbering(dict):
-    """word -> number in order of first sight."""
-
-    def __missing__(self, key):
-        value = self[key] = len(self)
-        return value
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit numbers (the finaliser of SplitMix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -127,7 +84,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A driver table; a small one is spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return df if table == "labels" else spread(df)
 
 
 def numbered(docs: DataFrame, columns: list[str], *, buckets: int | None = None) -> DataFrame:
@@ -140,27 +99,3 @@ def numbered(docs: DataFrame, columns: list[str], *, buckets: int | None = None)
     writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/rows")
     writer.bucketBy(buckets, "rid").saveAsTable(name)
     return spark.table(name)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, component) for every node, component being the
-    smallest node that can be reached.
-
-    Alternates large-star and small-star steps until the edges no longer change; every step is a partial
-    aggregation and a join, and is written to the shared folder. Duplicates of an edge do no harm.
-    """
-    star = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).cast("string"), F.lit(""))
-    seen = None
-    while True:
-        both = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        star = written(small.where("u <> v").distinct())
-        now = star.agg(F.count("*"), mark).head()
-        if now == seen:
-            break
-        seen = now
-    return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -177,17 +177,22 @@ def _prefixes(rows: DataFrame, order: int, hot, percent: int) -> DataFrame:
             rid = np.repeat(column(batch, "rid").to_numpy(), lengths)
             n = np.repeat(np.fromiter(map(len, sets), np.int32, len(sets)), lengths)
             last = np.repeat(np.fromiter((x for _, x in found), np.int64, len(found)), lengths)
-            tokens = np.concatenate([x for x, _ in found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(rid), pa.array(n), pa.array(last)], ["token", "rid", "n", "last"])
+            tokens = np.concatenate([x for x, _ in found])
+            cell = (tokens & np.uint64(CELLS - 1)).astype(np.int64)
+            often = ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(rid), pa.array(n), pa.array(last), pa.array(often)], ["token", "rid", "n", "last", "often"])
 
-    return rows.select("rid", "text").mapInArrow(run, "token bigint, rid bigint, n int, last bigint")
+    return rows.select("rid", "text").mapInArrow(run, "token bigint, rid bigint, n int, last bigint, often boolean")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows whose token occurs in two sets at least."""
-    own = Window.partitionBy("token")
+    """The prefix rows whose token occurs in two sets at least.
+
+    Frequent tokens are taken as they come: the sketch has counted them, and none of them may gather in a task.
+    """
+    own = Window.partitionBy("token", F.when(F.col("often"), F.col("rid")))
     rows = prefixes.withColumns({"low": F.min("rid").over(own), "high": F.max("rid").over(own)})
-    return written(rows.where("low <> high").drop("low", "high"))
+    return written(rows.where("low <> high OR often").drop("low", "high", "often"))
 
 
 def _possible(percent: int) -> Column:
@@ -230,14 +235,14 @@ def _verify(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 def _unsettled(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of tokens whose sets lie in different components, with the component."""
-    placed = shared.join(comps, F.col("rid") == F.col("node"), "left").select("token", "rid", "n", "last", F.coalesce("component", "rid").alias("comp"))
+    placed = written(shared.join(comps, F.col("rid") == F.col("node"), "left").select("token", "rid", "n", "last", F.coalesce("component", "rid").alias("comp")))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    return written(placed.join(mixed, "token", "left_semi"))
+    return written(placed.join(written(mixed), "token", "left_semi"))
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each set with its tokens' pivots, where they can be similar."""
-    pivots = rows.groupBy("token").agg(F.min("rid").alias("a"))
+    pivots = written(rows.groupBy("token").agg(F.min("rid").alias("a")))
     met = rows.join(pivots, "token").where("rid <> a").groupBy("a", F.col("rid").alias("b"))
     met = met.agg(F.count("*").alias("met"), F.first("n").alias("nb"), F.first("last").alias("lb"))
     ends = rows.groupBy(F.col("rid").alias("a")).agg(F.first("n").alias("na"), F.first("last").alias("la"))
@@ -294,7 +299,7 @@ def _remaining(rows: DataFrame, percent: int) -> DataFrame:
 
     A pivot's cluster is all sets that share one of its tokens, so any two sets that share a token meet in a cluster.
     """
-    pivots = rows.groupBy("token").agg(F.min("rid").alias("p"))
+    pivots = written(rows.groupBy("token").agg(F.min("rid").alias("p")))
     member = rows.join(pivots, "token").select("p", "rid").distinct()
     sizes = member.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sets = rows.groupBy("rid").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.first("comp").alias("comp"), F.collect_list("token").alias("tokens"))
@@ -389,8 +394,8 @@ def near_join(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS)
     component_id is the smallest doc_id that links reach, class_id the smallest with the same shingle set.
     """
     _, ids = classify(docs, ["doc_id", "text"], percent=percent, orders=orders)
-    least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    alike = ids.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    least = written(ids.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    alike = written(ids.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id")))
     out = ids.join(least, "comp").join(alike, "key", "left")
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

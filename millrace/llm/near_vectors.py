@@ -208,7 +208,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, recall: float =
 
     places = keyed.select("rid", "label", F.posexplode("cells").alias("t", "cell"))
     crowds = places.groupBy("label", "t", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = crowds.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    blocks = written(crowds.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
     full = keyed.select("rid", "label", "vector", "cells", F.posexplode("cells").alias("t", "cell")).join(blocks, ["label", "t", "cell"])
     full = full.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -220,6 +220,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, recall: float =
     counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
     out = rows.select("rid", "vec_id").join(counts, "rid", "left").join(joined.withColumnRenamed("node", "rid"), "rid", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rid").alias("comp"))
-    least = out.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
+    out = written(out)
+    least = written(out.groupBy("comp").agg(F.min("vec_id").alias("component_id")))
     out = out.join(least, "comp")
     return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

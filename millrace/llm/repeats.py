@@ -239,7 +239,8 @@ def marked(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, crowd: in
     bounded_batches(rows.sparkSession)
     found = written(_anchor_rows(rows, length, gram))
     counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > crowd).alias("crowded"))
-    shared = written(found.join(counts, "anchor"))
+    # written first, so that the join is one of two shuffles and a hot anchor can be split
+    shared = written(found.join(written(counts), "anchor"))
     contexts = _contexts(shared, rows, length, gram)
     crowded = not shared.where("crowded").isEmpty()
     if crowded:
@@ -249,7 +250,7 @@ def marked(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, crowd: in
     if crowded:
         single = contexts.where(F.col("kind").isin(ASK, SHOW))
         twice = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        found = single.where(F.col("kind") == ASK).join(twice, "key").unionByName(contexts.where(F.col("kind") == KNOWN))
+        found = single.where(F.col("kind") == ASK).join(written(twice), "key").unionByName(contexts.where(F.col("kind") == KNOWN))
         spans = spans.unionAll(found.select("rid", F.col("at").alias("start"), F.col("stop").alias("end")))
     return spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
