@@ -159,6 +159,26 @@ class HttpClient:
         return found["content"][0]["text"] if self.style == "messages" else found["choices"][0]["message"]["content"]
 
 
+#: Services: address, style of request, environment variable of the key.
+SERVICES = {
+    "anthropic": ("https://api.anthropic.com/v1/messages", "messages", "ANTHROPIC_API_KEY"),
+    "openai": ("https://api.openai.com/v1/chat/completions", "chat", "OPENAI_API_KEY"),
+    "compatible": ("http://localhost:11434/v1/chat/completions", "chat", "COMPATIBLE_API_KEY"),
+}
+
+
+def client(service: str, model: str = "", *, base_url: str = "", temperature: float = 0.2) -> Client:
+    """demo, or one of SERVICES; `base_url` replaces the address up to the path of the call."""
+    if service == "demo":
+        return DemoClient()
+    if service not in SERVICES:
+        raise InvalidRecipe(f"no service {service!r}")
+    url, style, key = SERVICES[service]
+    if base_url:
+        url = base_url.rstrip("/") + ("/messages" if style == "messages" else "/chat/completions")
+    return HttpClient(service, url, model, key, temperature, style)
+
+
 TRANSIENT = re.compile(r"\b(408|409|429|500|502|503|504|529)\b|timeout|connection|overloaded", re.I)
 
 
