@@ -29,9 +29,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of passages that occur more than once; n_chars follows the text."""
     columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = repeats.remove_repeats(docs, columns=columns, with_text=True)
-    out = out.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*docs.columns)
+    out = repeats.remove_repeats(docs.select("text", *[F.col(c).alias(f"__{c}") for c in columns]), columns=[f"__{c}" for c in columns], with_text=True)
+    made = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return out.select(*[made.get(c, F.col(f"__{c}")).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

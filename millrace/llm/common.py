@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import components, shared_folder, spread, written
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "column", "components", "count_words", "load", "mix64", "numbered", "raw_texts", "shared_folder", "slices", "spread", "texts", "words_of", "written"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "column", "components", "count_words", "load", "mix64", "numbered", "raw_texts", "shared_folder", "shielded", "slices", "spread", "texts", "words_of", "written"]
 
 #: A word is a run without ASCII white space; lower-casing touches A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,6 +89,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df if table == "labels" else spread(df)
 
 
+def shielded(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones under names that no operator uses, and what names them back."""
+    names = {c: c if c in needed else f"__kept_{k}" for k, c in enumerate(docs.columns)}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return hidden, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def numbered(docs: DataFrame, columns: list[str], *, buckets: int | None = None) -> DataFrame:
     """docs with a row number `rid`, written once and bucketed by it: what later joins on rid is shuffled,
     the texts are not. Rows stay apart even if their ids are null or repeat."""

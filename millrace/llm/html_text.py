@@ -40,9 +40,12 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 ONCE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("table ul ol dl article section aside nav main body div form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADER = -90
 #: What containers say of their text; negative for boilerplate.
-TAGS = {"article": 80, "main": 60, "nav": -160, "footer": -160, "aside": -160, "header": -90, "form": -160, "menu": -120, "dialog": -160, "button": -160, "label": -120, "fieldset": -120, "legend": -120, "option": -160, "head": -400}
+TAGS = {"article": 80, "main": 60, "nav": -160, "footer": -160, "aside": -160, "header": HEADER, "form": -160, "menu": -120, "dialog": -160, "button": -160, "label": -120, "fieldset": -120, "legend": -120, "option": -160, "head": -400}
 BAD = frozenset("ad ads adv advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs toc footer foot header masthead topbar toolbar comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget search form copyright legal pagination pager tags skip hidden".split())
+#: A header is boilerplate at the top of a page; inside an article it holds the article's own heading.
+HEADERS = frozenset("header head masthead topbar".split())
 GOOD = frozenset("article content post entry story main text body prose page maincontent".split())
 NEAR, SAME = 12, 8
 
@@ -56,7 +59,7 @@ def _hint(name: str, attrs: str) -> int:
             return -200
         found = {w.lower() for m in _named.finditer(attrs) for w in _camel.findall(" ".join(filter(None, m.groups())))}
         if found & BAD:
-            return min(hint, -120)
+            return min(hint, -120 if found & BAD - HEADERS else HEADER)
         if found & GOOD:
             return max(hint, 50) if hint >= 0 else hint
     return hint
@@ -73,7 +76,10 @@ class _Block:
 def _prior(path: tuple, wrappers: set[int]) -> int:
     """What a block's containers say: the innermost one that says something, and boilerplate around it."""
     total, first = 0, True
-    for number, _, hint in reversed(path):
+    for k in range(len(path) - 1, -1, -1):
+        number, _, hint = path[k]
+        if hint == HEADER and any(tag == "article" for _, tag, _ in path[:k]):
+            continue
         if hint and not (hint < 0 and number in wrappers):
             total += hint if first else -200 if hint <= -120 else hint // 2 if hint < 0 else hint // 4
             first = False

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, numbered, written
+from .common import count_words, numbered, shielded, written
 
 #: Copies of one document at most, so no source gets more than this many times its size.
 COPIES = 3
@@ -57,12 +57,10 @@ def targets(sized: DataFrame, weights: list[float] = (1, 2, 3), copies: int = CO
     return rows.select("source", "rank", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: list[float] = (1, 2, 3), copies: int = COPIES, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken and n_copies of each document of docs (doc_id, source, text).
-
-    A row number `rid` in docs is handed on.
-    """
-    number = ["rid"] if "rid" in docs.columns else []
+def mix(docs: DataFrame, *, weights: list[float] = (1, 2, 3), copies: int = COPIES, seed: int = 17, number: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken and n_copies of each document of docs (doc_id, source, text),
+    and the column `number` of docs, if one is named."""
+    number = [number] if number else []
     key = shuffle_key(F.col("doc_id"), seed)
     sized = docs.select(*number, "doc_id", "source", F.xxhash64("text").alias("text_key"), count_words(F.col("text")).alias("size"), key.alias("key"))
     sized = written(sized.withColumn("cell", (F.col("key") % CELLS).cast("int")))
@@ -96,7 +94,8 @@ def mix(docs: DataFrame, *, weights: list[float] = (1, 2, 3), copies: int = COPI
 
 def mixture(docs: DataFrame, *, weights: list[float] = (1, 2, 3), copies: int = COPIES, seed: int = 17) -> DataFrame:
     """The mixed documents: rows of docs (doc_id, source, text and others), each as often as it is taken."""
-    rows = numbered(docs, docs.columns)
-    taken = mix(rows, weights=weights, copies=copies, seed=seed).where("n_copies > 0").select("rid", "n_copies")
+    hidden, restored = shielded(docs, ["doc_id", "source", "text"])
+    rows = numbered(hidden, hidden.columns)
+    taken = mix(rows, weights=weights, copies=copies, seed=seed, number="rid").where("n_copies > 0").select("rid", "n_copies")
     out = rows.join(taken, "rid").withColumn("rid", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    return out.select(*docs.columns)
+    return restored(out)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, components, mix64, numbered, raw_texts, slices, words_of, written
+from .common import bounded_batches, column, components, mix64, numbered, raw_texts, shielded, slices, words_of, written
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
 #: Sets in a block of a cluster.
@@ -406,6 +406,7 @@ def keep_one(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS) -
 
     Rows without words link with nothing and stay; of rows with equal doc_ids the first stays.
     """
-    rows, ids = classify(docs, docs.columns, percent=percent, orders=orders)
+    hidden, restored = shielded(docs, ["doc_id", "text"])
+    rows, ids = classify(hidden, hidden.columns, percent=percent, orders=orders)
     kept = ids.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid"))
-    return rows.join(kept.select("rid"), "rid").select(*docs.columns)
+    return restored(rows.join(kept.select("rid"), "rid"))

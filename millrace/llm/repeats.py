@@ -301,11 +301,16 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     part of a character, `kept` leaves that part out; kept_sha256 is of the bytes themselves.
     """
     bounded_batches(docs.sparkSession)
-    rows = numbered(docs, [*columns, "text"])
+    given = list(columns)
+    hidden = docs.select("text", *[F.col(f"`{c}`").alias(f"__kept_{k}") for k, c in enumerate(given)])
+    rows = numbered(hidden, hidden.columns)
+    columns = [c for c in hidden.columns if c != "text"]
     alike = Window.partitionBy("sha")
     shas = rows.where(F.octet_length("text") >= length).select("rid", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     classes = written(shas.withColumns({"first": F.min("rid").over(alike), "copies": F.count("*").over(alike)}).select("rid", (F.col("rid") == F.col("first")).alias("first"), (F.col("copies") > 1).alias("whole")))
     part = rows.select("rid", "text").join(classes.where("first").select("rid"), "rid")
     spans = marked(part, length=length, gram=gram, crowd=crowd)
     out = rows.join(classes.select("rid", "whole"), "rid", "left").join(spans, "rid", "left")
-    return _cut(out.select(*columns, "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"), length, with_text=with_text)
+    found = _cut(out.select(*columns, "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"), length, with_text=with_text)
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    return found.select(*[F.col(c).alias(name) for c, name in zip(columns, given, strict=True)], *made)

@@ -22,6 +22,11 @@ def test_layout_names_do_not_hide_the_article():
     assert main_text(page) == "T Some text."
 
 
+def test_headers_of_pages_and_of_articles():
+    page = '<body><div class="page-header"><h1>The site</h1></div><article><header class="entry-header"><h1>The article</h1></header><p>Its text.</p><footer>Filed under news</footer></article></body>'
+    assert main_text(page) == "The article Its text."
+
+
 def test_article_alone():
     assert main_text(PAGE) == "Title & more First paragraph with bold and a link inside. Second line. Short. A quote <here>. One point. Two points."
 

@@ -12,6 +12,16 @@ def test_stages_in_order_and_whole(spark, small):
     assert 0 < kept.count() <= 3 * docs.count()
 
 
+def test_stages_survive_odd_rows_and_names(spark, small):
+    rows = [(1, "some text that is here to stay", None, 1, 2, 3, 4), (1, "some text that is here to stay", "a", 1, 2, 3, 4), (None, None, "a", 1, 2, 3, 4), (2, "", "b", 1, 2, 3, 4), (3, "y " * 5000, "b", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, rid int, n_copies int, whole int, kept int")
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, small)
+            assert out.count() <= 3 * frame.count(), name
+            assert name == "BPE encoding" or out.columns == docs.columns
+
+
 def test_run_gives_ids(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert {"doc_id", "n_tokens", "ids"} <= set(out.columns)
