@@ -207,7 +207,9 @@ def _order(op: str, a: Typed, b: Typed) -> Column:
         return {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
 
     shown = compare(a.text, b.text)
-    if a.kind in NUMERIC and b.kind in NUMERIC:
+    if (a.kind, b.kind) == ("int", "int"):
+        typed = compare(a.column, b.column)
+    elif a.kind in NUMERIC and b.kind in NUMERIC:
         typed = compare(a.value, b.value)
     elif (a.kind, b.kind) == ("date", "date"):
         typed = compare(a.column, b.column)
@@ -318,6 +320,37 @@ def _column(name: str, schema: T.StructType) -> Typed:
     return Typed(c, kind)
 
 
+def _plain_condition(node: Call, schema: T.StructType) -> Column | None:
+    """A comparison of a column with a literal as sources understand it, where a null column would not hold anyway."""
+    sides = dict(zip(("a", "b"), node.args, strict=True))
+    literal = next((k for k, x in sides.items() if isinstance(x, Literal) and x.value is not None), None)
+    if literal is None or node.name not in ("==", "<", ">", "<=", ">="):
+        return None
+    a, b = (compile_node(x, schema) for x in node.args)
+    numbers = {a.kind, b.kind} <= {"int", "double"}
+    if not numbers and not (a.kind == b.kind == "string"):
+        return None
+    # a null shows as the empty text, which sorts before any other
+    first_holds = {"a": (">", ">="), "b": ("<", "<=")}[literal]
+    if node.name in first_holds or (sides[literal].value == "" and node.name in ("<=", ">=")):
+        return None
+    x, y = (a.column, b.column) if a.kind == b.kind else (a.value, b.value)
+    return {"==": x == y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[node.name]
+
+
+def _condition(node: Node, schema: T.StructType) -> Column:
+    if isinstance(node, Call) and node.name in ("and", "or"):
+        a, b = (_condition(x, schema) for x in node.args)
+        return a & b if node.name == "and" else a | b
+    plain = _plain_condition(node, schema) if isinstance(node, Call) and len(node.args) == 2 else None
+    return compile_node(node, schema).holds if plain is None else plain
+
+
+def compile_condition(text: str, schema: T.StructType) -> Column:
+    """The expression as a filter, in which null counts as false; plain comparisons can be pushed to the source."""
+    return _condition(parse(text), schema)
+
+
 def compile_expression(text: str, schema: T.StructType) -> Typed:
     """Parse and compile; raises ExpressionError for bad syntax, unknown names and wrong arguments."""
     return compile_node(parse(text), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import ExpressionError, InvalidRecipe, MissingColumn
 from ..functions import chunks, language, parsing, pii, quality, text
-from ..functions.expressions import compile_expression
+from ..functions.expressions import compile_condition, compile_node, parse
 from ..functions.tokens import Estimator, Tokenizer
 from ..functions.values import RID, SPARK_TYPES, kind_of, show, unique_name
 from . import augment, fuzzy
@@ -102,8 +102,6 @@ class AddColumn:
     expression: str
 
     def apply(self, df: DataFrame, ctx: Context) -> Step:
-        from ..functions.expressions import compile_node, parse
-
         tree = parse(self.expression)
         if self.name in df.columns:
             raise InvalidRecipe(f"column {self.name!r} is already there")
@@ -120,7 +118,7 @@ class FilterRows:
     expression: str
 
     def apply(self, df: DataFrame, ctx: Context) -> Step:
-        return Step(df.where(compile_expression(self.expression, df.drop(RID).schema).holds))
+        return Step(df.where(compile_condition(self.expression, df.drop(RID).schema)))
 
 
 def _targets(df: DataFrame, names: tuple[str, ...]) -> list[str]:
@@ -339,8 +337,8 @@ class ChunkText:
         wide = df.withColumn("__chunk", F.explode(chunks.chunk(shown(df, self.column), self.config, ctx.tokenizer)))
         part = F.col("__chunk")
         most = df.agg(F.coalesce(F.max(RID), F.lit(-1)).alias("__most"))
-        # ids above the largest: row ids times a bound on the index keep the order without a global window
-        fresh = F.when(part["index"] == 0, F.col(RID)).otherwise(F.col("__most") + 1 + F.col(RID) * (1 << 20) + part["index"])
+        # above the largest, in the order in which the chunks lie, without a global window
+        fresh = F.when(part["index"] == 0, F.col(RID)).otherwise(F.col("__most") + 1 + F.monotonically_increasing_id())
         out = wide.crossJoin(F.broadcast(most)).select(  # one row
             fresh.alias(RID),
             *[part["text"].alias(c) if c == self.column else F.col(f"`{c}`") for c in columns_of(df)],

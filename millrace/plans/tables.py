@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
+_named: dict[str, SparkSession] = {}
 
 
 def _clean_up() -> None:
+    for name, spark in _named.items():
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001  the session has ended, and its catalog with it
+            break
     for root, spark in _made.items():
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -47,6 +53,16 @@ def written(df: DataFrame, *, partitions_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(root)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write df in buckets of a key and read it again: joins on the key shuffle the other side alone."""
+    spark = df.sparkSession
+    name = f"millrace_{uuid.uuid4().hex}"
+    _named[name] = spark
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/rows")
+    writer.bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it has fewer partitions than the cluster has cores, as small files do; else df itself."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -79,6 +79,25 @@ def test_expressions(spark, expression, want):
     assert row.select(made.column.alias("x")).head().x == want
 
 
+CONDITIONS = ["a > 1", "a >= 1", "a < 2", "a <= 1", "1 < a", "2 > a", "a == 1", "a != 1", "s > 'a'", "s < 'b'", "s == ''", "s <= ''", "'a' <= s", "s >= ''", "b > 1", "b < a", "a > 0 and s == 'x' or b >= 2", "not a > 1", "a == '1'", "s > 1", "s", "a and b"]
+
+
+@pytest.mark.parametrize("condition", CONDITIONS)
+def test_filters_agree_with_values(spark, condition):
+    rows = [(a, b, s) for a in (None, 0, 1, 2) for b in (None, 0.5, 2.0) for s in (None, "", "a", "x")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"{RID} bigint, a int, b double, s string")
+    made = compile_expression(condition, df.schema)
+    want = {r[RID] for r in df.where(made.holds).collect()}
+    assert {r[RID] for r in run(df, [ops.FilterRows(condition)], measure=False).frame.collect()} == want
+
+
+def test_filters_reach_the_source(spark, small):
+    df = spark.read.parquet(f"{small}/lineitem.parquet").withColumn(RID, F.col("l_orderkey"))
+    out = run(df, [ops.FilterRows("l_quantity >= 30 and l_returnflag == 'R'"), ops.SelectColumns(("l_orderkey",))], measure=False).output
+    plan = out._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "GreaterThanOrEqual(l_quantity,30.0)" in plan and "l_shipdate" not in plan.split("ReadSchema")[-1]
+
+
 @pytest.mark.parametrize("bad", ["a +", "(a", "a = 1", "nofunc(1)", "missing", "'open", "len()", "col(a)", "if(1, 2)", "a & b", "1 2"])
 def test_bad_expressions(spark, bad):
     with pytest.raises(ExpressionError):
