@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +10,9 @@ import pyarrow.compute  # noqa: F401  makes pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import components, shared_folder, spread, written
+from ..plans.tables import bucketed, components, shared_folder, spread, written
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "column", "components", "count_words", "load", "mix64", "numbered", "raw_texts", "shared_folder", "shielded", "slices", "spread", "texts", "words_of", "written"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "bucketed", "column", "components", "count_words", "load", "mix64", "numbered", "raw_texts", "shared_folder", "shielded", "slices", "spread", "texts", "words_of", "written"]
 
 #: A word is a run without ASCII white space; lower-casing touches A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,8 +100,5 @@ def numbered(docs: DataFrame, columns: list[str], *, buckets: int | None = None)
     the texts are not. Rows stay apart even if their ids are null or repeat."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"millrace_{uuid.uuid4().hex}"
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *columns).repartition(buckets, "rid")
-    writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/rows")
-    writer.bucketBy(buckets, "rid").saveAsTable(name)
-    return spark.table(name)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *columns)
+    return bucketed(rows.repartition(buckets, "rid"), "rid", buckets)

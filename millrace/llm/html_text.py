@@ -29,7 +29,7 @@ from .common import bounded_batches, column, slices, texts
 
 _raw = "script|style|noscript|template|textarea|title|svg|iframe|object|canvas|select|math|audio|video"
 _token = re.compile(
-    rf"<!--(?:.*?-->|.*)|<(?P<raw>{_raw})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*+>|\Z))|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    rf"<!--(?:.*?-->|.*)|<(?P<raw>{_raw})\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*+>|\Z))|<[!?][^<>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
 _named = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

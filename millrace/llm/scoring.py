@@ -18,7 +18,6 @@ are left behind.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, raw_texts, shared_folder, slices, words_of, written
+from .common import bounded_batches, bucketed, column, raw_texts, slices, words_of, written
 
 #: Bytes of text in a chunk; a longer text stands alone.
 CHUNK = 10 << 20
@@ -194,11 +193,9 @@ def score(docs: DataFrame, *, share: float = SHARE, support: int = SUPPORT, disc
     least = max(support, share * total)
 
     ends = asked.where("is_end").select("chunk", F.col("local").alias("end"))
-    table = f"millrace_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = made.where("kind = 0").join(ends, "chunk").select("chunk", "ids", "missing", "held", "lengths", "tokens", "end")
-    whole.write.format("parquet").option("path", f"{shared_folder(spark)}/chunks").bucketBy(buckets, "chunk").saveAsTable(table)
-    whole = spark.table(table)
+    whole = bucketed(whole, "chunk", buckets)
 
     frequent = asked.where(F.col("c") >= least)
     pairs = _pairs(whole, frequent.select("chunk", "local", "word_key"))
