@@ -244,7 +244,6 @@ FUNCTIONS = {
     "substr": (2, 3, lambda a: Typed(_substr(a), "string")),
     "concat": (0, 99, lambda a: Typed(F.concat(F.lit(""), *[x.text for x in a]), "string")),
     "coalesce": (0, 99, lambda a: _coalesce(a)),
-    "tokens": (1, 1, lambda a: Typed(tokens.estimate(a[0].text), "int")),
     "words": (1, 1, lambda a: Typed(F.regexp_count(a[0].text, F.lit(f"[^{SPACE}]+")).cast("bigint"), "int")),
     "lang": (1, 1, lambda a: Typed(language.detect(a[0].text)["code"], "string")),
     "is_null": (0, 1, lambda a: Typed(a[0].column.isNull() if a else F.lit(True), "bool")),
@@ -268,7 +267,8 @@ def _if(args: list[Typed]) -> Typed:
     return Typed(F.when(args[0].holds, yes).otherwise(no), kind)
 
 
-def compile_node(node: Node, schema: T.StructType) -> Typed:
+def compile_node(node: Node, schema: T.StructType, tokenizer: tokens.Tokenizer | None = None) -> Typed:
+    """The tree as a typed column; `tokenizer` is what tokens() counts with."""
     if isinstance(node, Literal):
         return _literal(node.value)
     if isinstance(node, Name):
@@ -277,11 +277,13 @@ def compile_node(node: Node, schema: T.StructType) -> Typed:
         if len(node.args) != 1 or not isinstance(node.args[0], Literal) or not isinstance(node.args[0].value, str):
             raise ExpressionError("col() takes one name in quotes")
         return _column(node.args[0].value, schema)
-    args = [compile_node(x, schema) for x in node.args]
+    args = [compile_node(x, schema, tokenizer) for x in node.args]
+    if node.name == "tokens" and len(args) == 1:
+        return Typed((tokenizer or tokens.Estimator()).column(args[0].text), "int")
     if node.name in POWERS or node.name in ("not", "negate"):
         return _operator(node.name, args)
     if node.name not in FUNCTIONS:
-        raise ExpressionError(f"no function {node.name!r}")
+        raise ExpressionError("tokens() takes one argument" if node.name == "tokens" else f"no function {node.name!r}")
     least, most, build = FUNCTIONS[node.name]
     if not least <= len(args) <= most:
         raise ExpressionError(f"{node.name}() takes {least} to {most} arguments, not {len(args)}")
@@ -320,13 +322,13 @@ def _column(name: str, schema: T.StructType) -> Typed:
     return Typed(c, kind)
 
 
-def _plain_condition(node: Call, schema: T.StructType) -> Column | None:
+def _plain_condition(node: Call, schema: T.StructType, tokenizer: tokens.Tokenizer | None) -> Column | None:
     """A comparison of a column with a literal as sources understand it, where a null column would not hold anyway."""
     sides = dict(zip(("a", "b"), node.args, strict=True))
     literal = next((k for k, x in sides.items() if isinstance(x, Literal) and x.value is not None), None)
     if literal is None or node.name not in ("==", "<", ">", "<=", ">="):
         return None
-    a, b = (compile_node(x, schema) for x in node.args)
+    a, b = (compile_node(x, schema, tokenizer) for x in node.args)
     numbers = {a.kind, b.kind} <= {"int", "double"}
     if not numbers and not (a.kind == b.kind == "string"):
         return None
@@ -338,19 +340,19 @@ def _plain_condition(node: Call, schema: T.StructType) -> Column | None:
     return {"==": x == y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[node.name]
 
 
-def _condition(node: Node, schema: T.StructType) -> Column:
+def _condition(node: Node, schema: T.StructType, tokenizer: tokens.Tokenizer | None) -> Column:
     if isinstance(node, Call) and node.name in ("and", "or"):
-        a, b = (_condition(x, schema) for x in node.args)
+        a, b = (_condition(x, schema, tokenizer) for x in node.args)
         return a & b if node.name == "and" else a | b
-    plain = _plain_condition(node, schema) if isinstance(node, Call) and len(node.args) == 2 else None
-    return compile_node(node, schema).holds if plain is None else plain
+    plain = _plain_condition(node, schema, tokenizer) if isinstance(node, Call) and len(node.args) == 2 else None
+    return compile_node(node, schema, tokenizer).holds if plain is None else plain
 
 
-def compile_condition(text: str, schema: T.StructType) -> Column:
+def compile_condition(text: str, schema: T.StructType, tokenizer: tokens.Tokenizer | None = None) -> Column:
     """The expression as a filter, in which null counts as false; plain comparisons can be pushed to the source."""
-    return _condition(parse(text), schema)
+    return _condition(parse(text), schema, tokenizer)
 
 
-def compile_expression(text: str, schema: T.StructType) -> Typed:
+def compile_expression(text: str, schema: T.StructType, tokenizer: tokens.Tokenizer | None = None) -> Typed:
     """Parse and compile; raises ExpressionError for bad syntax, unknown names and wrong arguments."""
-    return compile_node(parse(text), schema)
+    return compile_node(parse(text), schema, tokenizer)

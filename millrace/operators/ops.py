@@ -106,7 +106,7 @@ class AddColumn:
         if self.name in df.columns:
             raise InvalidRecipe(f"column {self.name!r} is already there")
         try:
-            made = compile_node(tree, df.drop(RID).schema)
+            made = compile_node(tree, df.drop(RID).schema, ctx.tokenizer)
             value = made.column.cast(SPARK_TYPES[made.kind])
         except ExpressionError:
             value = F.lit(None).cast("string")
@@ -118,7 +118,7 @@ class FilterRows:
     expression: str
 
     def apply(self, df: DataFrame, ctx: Context) -> Step:
-        return Step(df.where(compile_condition(self.expression, df.drop(RID).schema)))
+        return Step(df.where(compile_condition(self.expression, df.drop(RID).schema, ctx.tokenizer)))
 
 
 def _targets(df: DataFrame, names: tuple[str, ...]) -> list[str]:

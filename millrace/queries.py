@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chunks, language, pii, quality, text
+from .functions.tokens import Ranked
 from .functions.values import RID
 from .operators import augment, fuzzy, ops, reports, shaping
 from .plans.executor import run, sample
@@ -324,6 +325,15 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(documents(spark, sf_dir), ops.AddTokenCount("text"), ops.SelectColumns(("doc_id", "token_count")))
 
 
+@query("token_count_bpe")
+def token_count_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by a vocabulary file; here a public one stands for the caller's."""
+    import public_tokenizers
+
+    bpe = Ranked(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return plan(documents(spark, sf_dir), ops.AddTokenCount("text"), ops.SelectColumns(("doc_id", "token_count")), tokenizer=bpe)
+
+
 @query("chunk_text")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(documents(spark, sf_dir), ops.ChunkText("text", chunks.ChunkerConfig(target_tokens=128, overlap_tokens=16)))

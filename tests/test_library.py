@@ -104,6 +104,16 @@ def test_bad_expressions(spark, bad):
         compile_expression(bad, spark.range(1).withColumnRenamed("id", "a").schema)
 
 
+def test_tokens_count_with_the_vocabulary_in_use(spark):
+    import public_tokenizers
+    from millrace.functions.tokens import Ranked
+
+    bpe = Ranked(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    df = spark.createDataFrame([(0, "hello world")], f"{RID} bigint, text string")
+    out = run(df, [ops.AddColumn("n", "tokens(text)"), ops.FilterRows("tokens(text) < 3"), ops.AddTokenCount("text")], context=ops.Context(tokenizer=bpe))
+    assert [(r.n, r.token_count) for r in out.output.collect()] == [(2, 2)]
+
+
 def test_doubles_are_shown_like_numbers(spark):
     from millrace.functions.values import show
 
