@@ -1,15 +1,17 @@
 """Scores of texts under an n-gram model of the corpus, read by a weighted backoff automaton.
 
-States are the empty context and every word of at least a given share of all tokens. From a word's state
+States are the empty context and every word that occurs often enough (`support`) to have a follower. From a word's state
 arcs lead on each follower seen often enough, weighing (c(hw) - discount) / c(h) + back(h) * p(w); any other word takes the failure
 arc, weighing back(h), to the empty context, whose arcs weigh p(w) = (c + 0.1) / (N + 0.1 * (V + 1)). back(h) is the mass that the
 discount and the followers left out set free, so each state's weights sum to one. A text is read once from
-left to right, starting in the state of the end token, and the logarithms are added up.
+left to right, starting in the state of the end token, and the logarithms are added up. Both limits are counts, not shares of
+the corpus, so the states and arcs gathered grow with it.
 
 Texts are read and cut into words once, into chunks of bounded size: a chunk keeps its texts as word numbers of its own.
-Counts are gathered by chunk (one row for a word, later for a pair of words, in a chunk, however often it occurs there),
-summed over the corpus and sent back to the chunks that asked. Nothing but two sums and the states of the
-frequent words, of which there can be at most 1 / share, reaches the driver or all executors.
+A chunk's distinct pairs of words, as sorted 64-bit hashes with their counts, are cut by hash into parts; a part sums the
+pairs of all chunks and sends each chunk the totals of its own pairs, in their order. The chunk then gives one row for each of
+its words, however often it occurs there, with what the word's followers keep; these are summed over the corpus and sent back
+to the chunks that asked. Nothing but three sums reaches the driver, and nothing all executors.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is drawn like the empty string; rows with equal
 doc_ids stay rows of their own; without training texts every count is 0; an empty table gives no rows; further columns
@@ -23,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +34,11 @@ from .common import bounded_batches, bucketed, column, raw_texts, slices, words_
 
 #: Bytes of text in a chunk; a longer text stands alone.
 CHUNK = 10 << 20
-#: Share of all tokens from which on a word has a state; times that a follower must occur; discount.
-SHARE, SUPPORT, DISCOUNT = 5e-5, 2, 0.75
+#: Share of all tokens below which words get no state and are no followers (0: none are left out); times that a follower must
+#: occur; discount.
+SHARE, SUPPORT, DISCOUNT = 0.0, 2, 0.75
+#: Parts of the pairs' hashes: so many at least, and of about so many tokens.
+PARTS, PART = 1024, 1_000_000
 END = b""
 ADDED = 0.1
 
@@ -53,24 +59,29 @@ def _unpack(raw: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd"), dtype)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: those that are all zero compress to nothing."""
+    return x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(np.dtype(dtype).itemsize, -1).T).view(dtype)[:, 0]
+
+
 def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
-    """kind 0: a chunk's ids, flags, lengths and word numbers; kind 1: its words and their counts in training texts."""
-    kinds = {"kind": pa.int32(), "chunk": pa.int64(), "ids": pa.binary(), "missing": pa.binary(), "held": pa.binary(), "lengths": pa.binary(), "tokens": pa.binary(), "local": pa.int32(), "word": pa.binary(), "n": pa.int64()}
+    """A chunk's ids, flags, lengths, word numbers and words, the number of the end token and that of all tokens."""
+    names = ["chunk", "end", "size", "ids", "missing", "held", "lengths", "tokens", "words"]
+    schema = pa.schema([(k, pa.int64() if k in names[:3] else pa.binary()) for k in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         words, parts, size = _Numbers(), [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             ids, missing, held, lengths, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
-            row = {"kind": 0, "chunk": number, "ids": _pack(ids), "missing": _pack(missing), "held": _pack(held), "lengths": _pack(lengths), "tokens": _pack(tokens)}
-            yield pa.RecordBatch.from_pylist([row], pa.schema(list(kinds.items())))
-            train = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words))
-            names = list(words)
-            for low in range(0, len(names), 50_000):
-                n = len(names[low : low + 50_000])
-                given = {"kind": pa.array(np.ones(n, np.int32)), "chunk": pa.array(np.full(n, number)), "local": pa.array(np.arange(low, low + n, dtype=np.int32)), "word": pa.array(names[low : low + n], pa.binary()), "n": pa.array(train[low : low + n].astype(np.int64))}
-                yield pa.RecordBatch.from_arrays([given.get(k, pa.nulls(n, t)) for k, t in kinds.items()], list(kinds))
+            spelt = np.frombuffer(b"\n".join(words), np.uint8)  # words hold no white space
+            row = {"chunk": number, "end": words[END], "size": len(tokens), "ids": _pack(ids), "missing": _pack(missing), "held": _pack(held), "lengths": _pack(lengths), "tokens": _pack(tokens), "words": _pack(spelt)}
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in slices(batches, "text", 4 << 20):
             raw = raw_texts(batch)
@@ -83,12 +94,12 @@ def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
             parts.append((ids.fill_null(0).to_numpy(), np.asarray(ids.is_null()), np.asarray(column(batch, "held_out")), lengths, tokens))
             size += sum(map(len, raw))
             if size >= chunk:
-                yield from out()
+                yield out()
                 words, parts, size, number = _Numbers(), [], 0, number + 1
         if parts:
-            yield from out()
+            yield out()
 
-    return docs.mapInArrow(run, "kind int, chunk bigint, ids binary, missing binary, held binary, lengths binary, tokens binary, local int, word binary, n bigint")
+    return docs.mapInArrow(run, "chunk bigint, end bigint, size bigint, ids binary, missing binary, held binary, lengths binary, tokens binary, words binary")
 
 
 def _before(tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
@@ -99,33 +110,125 @@ def _before(tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def _pairs(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
-    """a, b, chunk, n: followers among frequent words in each chunk, n counting training texts."""
-    schema = pa.schema([("chunk", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+class _Chunk:
+    """A chunk's row unpacked. Its distinct pairs of words are ordered by their hashes `pairs`; `order` has the tokens that end
+    the first pair, then those of the second one and so on, and `starts` where each pair's begin."""
+
+    def __init__(self, row: dict):
+        self.number = row["chunk"]
+        self.lengths, self.tokens, held = _unpack(row["lengths"], "<i4"), _unpack(row["tokens"], "<i4"), _unpack(row["held"], "?")
+        self.held, self.train = held, np.repeat(~held, self.lengths)
+        self.words = _unpack(row["words"], "u1").tobytes().split(b"\n")
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        # the state before each token is set by the word before it
+        self.before = _before(self.tokens, self.lengths, row["end"])
+        hashes = keys[self.before] * np.uint64(0x9E3779B97F4A7C15) + keys[self.tokens]
+        self.order = np.argsort(hashes)
+        hashes = hashes[self.order]
+        self.starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        self.pairs = hashes[self.starts]
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two words of each pair."""
+        at = self.order[self.starts]
+        return self.before[at], self.tokens[at]
+
+
+def _pairs(chunks: DataFrame, parts: int) -> DataFrame:
+    """chunk, part, keys, n: the distinct pairs of each chunk, n counting training texts."""
+    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = _Chunk(batch.slice(k, 1).to_pylist()[0])
+                n = np.add.reduceat(own.train[own.order].astype(np.uint32), own.starts, dtype=np.uint32)
+                part = ((own.pairs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                found, low = np.unique(part, return_index=True)
+                bounds = [*low.tolist(), len(part)]
+                rows, size = [], 0
+                for p, a, b in zip(found.tolist(), bounds, bounds[1:], strict=False):
+                    rows.append({"chunk": own.number, "part": p, "keys": _planes(np.diff(own.pairs[a:b], prepend=np.uint64(0))), "n": _planes(n[a:b])})
+                    size += b - a
+                    if size >= 300_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return chunks.select("chunk", "end", "held", "lengths", "tokens", "words").mapInArrow(run, "chunk bigint, part bigint, keys binary, n binary")
+
+
+def _totals(pairs: DataFrame, support: int) -> DataFrame:
+    """chunk, part, totals: for each pair of a chunk's part, in order, twice its count c in the corpus, or 0 if c < support; one more
+    in the first of the chunks that have the pair."""
+    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("totals", pa.binary())])
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("chunk").to_pylist()
+        keys = [np.cumsum(_from_planes(x["keys"], "<u8"), dtype=np.uint64) for x in rows]
+        bounds = np.cumsum([0, *map(len, keys)])
+        keys, n = np.concatenate(keys), np.concatenate([_from_planes(x["n"], "<u4") for x in rows]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        c = np.add.reduceat(n[order], starts)
+        c[c < support] = 0
+        out = np.empty(len(n), np.int64)
+        out[order] = np.repeat(2 * c, np.diff(np.r_[starts, len(n)]))
+        out[order[starts]] += c > 0
+        found = [{"chunk": x["chunk"], "part": x["part"], "totals": _pack(out[a:b])} for x, a, b in zip(rows, bounds, bounds[1:], strict=False)]
+        return pa.Table.from_pylist(found, schema)
+
+    return pairs.groupBy("part").applyInArrow(total, "chunk bigint, part bigint, totals binary")
+
+
+def _joined(table: pa.Table) -> np.ndarray:
+    """A chunk's totals in the order of its pairs."""
+    return np.concatenate([_unpack(x, "<i8") for x in table.sort_by("part")["totals"].to_pylist()])
+
+
+def _words(chunks: DataFrame, totals: DataFrame, frequent: DataFrame | None) -> DataFrame:
+    """chunk, local, word, n, kept, types: a chunk's words, their counts n in training texts, and of those of their followers that
+    no earlier chunk has the counts in the corpus and the number. With frequent (chunk, local), pairs of its words alone."""
+    kinds = {"chunk": pa.int64(), "local": pa.int64(), "word": pa.binary(), "n": pa.int64(), "kept": pa.int64(), "types": pa.int64()}
+    schema = pa.schema(list(kinds.items()))
+    limited = frequent is not None
+    right = totals.withColumn("local", F.lit(None).cast("bigint"))
+    if limited:
+        right = right.unionByName(frequent, allowMissingColumns=True)
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+        if not left.num_rows:
             return schema.empty_table()
-        row = left.to_pylist()[0]
-        lengths, tokens = _unpack(row["lengths"], "<i4"), _unpack(row["tokens"], "<i4")
-        local, key = right["local"].to_numpy(), right["word_key"].to_numpy()
-        code = np.full(int(max(tokens.max(), local.max())) + 1, -1, np.int64)
-        code[local] = np.arange(len(local))
-        b = code[tokens]
-        a = code[_before(tokens, lengths, row["end"])]
-        live = (a >= 0) & (b >= 0)
-        pair = a[live] * len(local) + b[live]
-        train = np.repeat(~_unpack(row["held"], "?"), lengths)[live]
-        distinct, back = np.unique(pair, return_inverse=True)
-        n = np.bincount(back[train], minlength=len(distinct))
-        return pa.table({"chunk": np.full(len(distinct), row["chunk"]), "a": key[distinct // len(local)], "b": key[distinct % len(local)], "n": n.astype(np.int64)}, schema)
-
-    return chunks.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(count, "chunk bigint, a bigint, b bigint, n bigint")
-
-
-def _scores(chunks: DataFrame, facts: DataFrame, total: int, distinct: int, discount: float) -> DataFrame:
-    """facts: of words (x local number, y key, c count, m mass that followers keep; null without state) and of pairs
-    (x, y keys, c count)."""
+        own = _Chunk(left.to_pylist()[0])
+        size = len(own.words)
+        given = _joined(right.filter(pa.compute.is_valid(right["totals"])))
+        a, b = own.ends()
+        new = given % 2 == 1
+        if limited:
+            live = np.zeros(size, bool)
+            live[right["local"].drop_null().to_numpy()] = True
+            new &= live[a] & live[b]
+        a, c = a[new], given[new] // 2
+        # sums of whole numbers below 2**53 are exact
+        kept, types = np.bincount(a, c, size).astype(np.int64), np.bincount(a, minlength=size)
+        n = np.bincount(own.tokens[own.train], minlength=size)
+        return pa.table([np.full(size, own.number), np.arange(size), pa.array(own.words, pa.binary()), n, kept, types], schema=schema)
+
+    return chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(count, "chunk bigint, local bigint, word binary, n bigint, kept bigint, types bigint")
+
+
+def _asked(words: DataFrame) -> DataFrame:
+    """chunk, local, c, kept, types, first: the words of each chunk with their sums over the corpus."""
+    own = Window.partitionBy("word")
+    sums = {k: F.sum(v).over(own) for k, v in (("c", "n"), ("kept", "kept"), ("types", "types"))}
+    sums["first"] = F.min("chunk").over(own) == F.col("chunk")
+    return written(words.select("chunk", "local", *[v.alias(k) for k, v in sums.items()]))
+
+
+def _scores(chunks: DataFrame, facts: DataFrame, total: int, distinct: int, least: float, discount: float) -> DataFrame:
+    """facts: of words (local number, c count, kept and types of followers) and of pairs (part, totals)."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
@@ -134,42 +237,30 @@ def _scores(chunks: DataFrame, facts: DataFrame, total: int, distinct: int, disc
         if not left.num_rows:
             return schema.empty_table()
         row = left.to_pylist()[0]
-        lengths, tokens, held = _unpack(row["lengths"], "<i4"), _unpack(row["tokens"], "<i4"), _unpack(row["held"], "?")
-        is_word = right["is_word"].to_numpy(zero_copy_only=False)
-        x, y, c, m = (right[k].to_numpy() for k in ("x", "y", "c", "m"))
-        size = int(x[is_word].max()) + 1
-        count, keep, code = np.zeros(size, np.int64), np.full(size, np.nan), np.full(size, -1, np.int64)
-        count[x[is_word]], keep[x[is_word]] = c[is_word], m[is_word]
-        states = np.flatnonzero(~np.isnan(keep))
-        keys = np.zeros(size, np.int64)
-        keys[x[is_word]] = y[is_word]
-        states = states[np.argsort(keys[states])]
-        code[states] = np.arange(len(states))
+        own = _Chunk(row)
+        lengths, tokens, before = own.lengths, own.tokens, own.before
+        is_word = pa.compute.is_valid(right["local"])
+        facts, size = right.filter(is_word), len(own.words)
+        count, mass = np.zeros(size, np.int64), np.zeros(size)
+        local = facts["local"].to_numpy()
+        count[local] = facts["c"].to_numpy()
+        mass[local] = facts["kept"].to_numpy() - discount * facts["types"].to_numpy()
+        state = count >= least
         back = np.ones(size)
-        back[states] = 1 - keep[states] / count[states]
-        arcs, weights = np.empty(0, np.int64), np.empty(0)
-        if len(states):
-            a, b = np.searchsorted(keys[states], x[~is_word]), np.searchsorted(keys[states], y[~is_word])
-            arcs = a * len(states) + b
-            order = np.argsort(arcs)
-            arcs, weights = arcs[order], ((c[~is_word] - discount) / count[states][a])[order]
+        back[state] = 1 - mass[state] / count[state]
         single = (count + ADDED) / (total + ADDED * (distinct + 1))
-        # the state before each token is set by the word before it
-        before = _before(tokens, lengths, row["end"])
         p = single[tokens] * back[before]
-        a, b = code[before], code[tokens]
-        able = np.flatnonzero((a >= 0) & (b >= 0))
-        if len(arcs) and len(able):
-            want = a[able] * len(states) + b[able]
-            at = np.minimum(np.searchsorted(arcs, want), len(arcs) - 1)
-            hit = arcs[at] == want
-            p[able[hit]] += weights[at[hit]]
+        given, (a, b) = _joined(right.filter(pa.compute.invert(is_word))), own.ends()
+        hit = (given > 0) & state[a] & state[b]
+        weights = np.zeros(len(given))
+        weights[hit] = (given[hit] // 2 - discount) / count[a[hit]]
+        p[own.order] += np.repeat(weights, np.diff(np.r_[own.starts, len(tokens)]))
         starts = np.cumsum(lengths) - lengths
         base = np.add.reduceat(np.log10(single)[tokens], starts)
         known = np.add.reduceat((count > 0)[tokens].astype(np.int64), starts)
         whole = np.add.reduceat(np.log10(p), starts)
         ids = pa.array(_unpack(row["ids"], "<i8"), mask=_unpack(row["missing"], "?"))
-        return pa.table([ids, pa.array(held), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(whole)], schema=schema)
+        return pa.table([ids, pa.array(own.held), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(whole)], schema=schema)
 
     spark_schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInArrow(score, spark_schema)
@@ -182,30 +273,15 @@ def score(docs: DataFrame, *, share: float = SHARE, support: int = SUPPORT, disc
     bounded_batches(spark)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (fold == 0).alias("held_out"))
-    made = written(_chunks(docs, chunk), partitions_by=["kind"])
-    words = made.where("kind = 1").select("chunk", "local", "word", "n")
+    whole = bucketed(_chunks(docs, chunk), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(PARTS, (whole.agg(F.sum("size")).head()[0] or 0) // PART)
+    totals = written(_totals(_pairs(whole, parts), support))
 
-    own = Window.partitionBy("word")
-    asked = words.withColumns({"c": F.sum("n").over(own), "first": F.min("chunk").over(own) == F.col("chunk"), "word_key": F.xxhash64("word"), "is_end": F.octet_length("word") == 0})
-    asked = written(asked.select("chunk", "local", "word_key", "c", "first", "is_end"))
+    asked = _asked(_words(whole, totals, None))
     seen = asked.where("first").agg(F.sum("c").alias("total"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).head()
     total, distinct = seen["total"] or 0, seen["distinct"]
     least = max(support, share * total)
-
-    ends = asked.where("is_end").select("chunk", F.col("local").alias("end"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = made.where("kind = 0").join(ends, "chunk").select("chunk", "ids", "missing", "held", "lengths", "tokens", "end")
-    whole = bucketed(whole, "chunk", buckets)
-
-    frequent = asked.where(F.col("c") >= least)
-    pairs = _pairs(whole, frequent.select("chunk", "local", "word_key"))
-    own = Window.partitionBy("a", "b")
-    pairs = pairs.withColumns({"c": F.sum("n").over(own), "first": F.min("chunk").over(own) == F.col("chunk")})
-    pairs = written(pairs.where(F.col("c") >= support).select("chunk", "a", "b", "c", "first"))
-    # at most 1 / share states
-    mass = pairs.where("first").groupBy(F.col("a").alias("word_key")).agg(F.sum(F.col("c") - discount).alias("mass"))
-    nothing = F.lit(None).cast("double")
-    state = F.when(F.col("c") >= least, F.coalesce("mass", F.lit(0.0))).otherwise(nothing)
-    of_words = asked.join(F.broadcast(mass), "word_key", "left").select("chunk", F.lit(True).alias("is_word"), F.col("local").cast("bigint").alias("x"), F.col("word_key").alias("y"), "c", state.alias("m"))
-    of_pairs = pairs.select("chunk", F.lit(False).alias("is_word"), F.col("a").alias("x"), F.col("b").alias("y"), "c", nothing.alias("m"))
-    return _scores(whole, of_words.unionAll(of_pairs), total, distinct, discount)
+    if least > support:
+        asked = _asked(_words(whole, totals, asked.where(F.col("c") >= least).select("chunk", "local")))
+    facts = asked.select("chunk", "local", "c", "kept", "types").unionByName(totals, allowMissingColumns=True)
+    return _scores(whole, facts, total, distinct, least, discount)

@@ -87,6 +87,18 @@ def test_scores_equal_a_plain_computation(spark, small, chunk):
         assert g.base_score == pytest.approx(w[5]) and g.score == pytest.approx(w[6])
 
 
+def test_scores_equal_those_of_an_unpruned_model(spark, small):
+    """Over 100,000 tokens, so that a share of them as limit would leave out pairs that occur twice or more."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(k, "the " * 3000) for k in range(5000, 5020)]
+    rows += [(k, f"common{k % 2} rare{k // 2} end") for k in range(6000, 6040)]
+    want = sorted(plain_scores(rows, share=0), key=lambda r: (str(r[0]), r[2]))
+    assert want[0][4] > 100_000
+    got = scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=50_000).collect()
+    for g, w in zip(sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens)), want, strict=True):
+        assert tuple(g)[:5] == w[:5]
+        assert g.base_score == pytest.approx(w[5]) and g.score == pytest.approx(w[6])
+
+
 def test_held_out_texts_are_likelier_than_by_words_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     row = scoring.score(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).head()
