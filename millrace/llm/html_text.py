@@ -7,7 +7,8 @@ cheapest labelling is a minimum cut: costs are the capacities of edges to the tw
 edges between blocks, and a maximum flow separates content from boilerplate. Blocks whose own cost outweighs all
 their edges can be labelled without a flow; the rest is solved by augmenting paths.
 
-Scripts, styles, forms' controls and other elements without prose are never blocks.
+Scripts, styles, forms' controls and other elements without prose are never blocks. Raw text (a script, a title) ends at its end
+tag or with the page; the others are left out from start tag to end tag, and where no end tag is, only the tag is.
 
 Defined cases: null and empty pages have an empty text and 0 characters; unclosed, misnested and unknown tags, and a lone "<",
 are read as browsers roughly do; pages of any length are read whole; repeated rows and null ids stay rows of their own; further
@@ -17,7 +18,7 @@ columns are left behind.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -27,11 +28,14 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches, column, slices, texts
 
-_raw = "script|style|noscript|template|textarea|title|svg|iframe|object|canvas|select|math|audio|video"
+_raw = "script|style|noscript|textarea|title|iframe"
 _token = re.compile(
-    rf"<!--(?:.*?-->|.*)|<(?P<raw>{_raw})\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*+>|\Z))|<[!?][^<>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    rf"<!--(?:.*?-->|.*)|<(?P<raw>{_raw})(?=[\s/>])(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^<>]*+>|\Z))|<[!?][^<>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
+#: Elements with markup of their own but without prose.
+DROPPED = frozenset("template svg object canvas select audio video".split())
+_drops = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 _named = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _hidden = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _camel = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -100,6 +104,31 @@ def _wrappers(found: list[_Block]) -> set[int]:
     return titled & storied
 
 
+def _dropped(html: str) -> dict[int, int]:
+    """Where elements without prose start and end; one that its own end tag does not close, before that of an element around
+    it, is none."""
+    spans: dict[int, int] = {}
+    if not _drops.search(html):
+        return spans
+    stack: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    for m in _token.finditer(html):
+        name = (m["name"] or "").lower()
+        if name not in DROPPED and (name not in BLOCKS or name in VOID):
+            continue
+        if m["end"]:
+            found = ""
+            while count[name] and found != name:
+                found, start = stack.pop()
+                count[found] -= 1
+            if found and name in DROPPED:
+                spans[start] = m.end()
+        elif name != "svg" or not m["attrs"].endswith("/"):
+            stack.append((name, m.start()))
+            count[name] += 1
+    return spans
+
+
 def blocks(html: str) -> list[_Block]:
     """The page's blocks in order."""
     out: list[_Block] = []
@@ -118,15 +147,18 @@ def blocks(html: str) -> list[_Block]:
             parts.clear()
         linked = 0
 
+    dropped = _dropped(html)
     for m in _token.finditer(html):
+        if m.start() < done:
+            continue
         if m.start() > done:
             piece = html[done : m.start()]
             parts.append(piece)
             if in_link:
                 linked += len(piece)
-        done = m.end()
+        done = dropped.get(m.start(), m.end())
         name = m["name"]
-        if not name:
+        if not name or m.start() in dropped:
             continue
         name = name.lower()
         if name == "a":

@@ -40,6 +40,36 @@ def test_plain_text_is_kept():
     assert main_text("just a text without any markup at all, and 3 < 4.") == "just a text without any markup at all, and 3 < 4."
 
 
+@pytest.mark.parametrize("name", ["svg-icon", "video-player", "template-x", "select-box", "object-view", "title-bar", "script-note"])
+def test_custom_elements_are_not_taken_for_raw_ones(name):
+    assert main_text(f"<article><p>Text before.</p><{name} size=2></{name}><p>Text after.</p></article>") == "Text before. Text after."
+
+
+@pytest.mark.parametrize("name", ["video", "audio", "object", "canvas", "svg", "select", "template"])
+def test_only_closed_elements_are_left_out(name):
+    start, end, rest = f"<{name} id=a>", f"</{name}>", "<p>Text after.</p></article>"
+    for markup in (start, f"{start}gone{end}", f"{start.upper()}gone{end.upper()}", f"{start}gone{start}gone{end}gone{end}", f"{start}gone{end} {start}"):
+        assert main_text(f"<article><p>Text before.</p>{markup}{rest}") == "Text before. Text after.", markup
+    page = f"<article><p>Text before.</p>{start}{rest}<article><p>More.</p>{start}gone{end}<p>Last.</p></article>"
+    assert main_text(page) == "Text before. Text after. More. Last."
+    assert main_text(f"<div><article><p>Text before.</p>{start}{rest}<p>Between the two.</p>{end}</div>") == "Text before. Text after. Between the two."
+
+
+def test_raw_text_runs_to_its_end_tag_or_the_end():
+    assert main_text("<article><p>Text.</p><script>'<p>'</scripts></script x><p>After.</p></article>") == "Text. After."
+    assert main_text("<article><p>Text.</p><style>p {} <p>not text") == "Text."
+    assert main_text("<article><p>Text.</p><svg viewBox='0 0 1 1'/><p>After.</p><svg><svg/><text>gone</text></svg></article>") == "Text. After."
+
+
+def test_text_of_formulas_is_kept():
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>") == "Let x=2 be."
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 60000, "<svg><p>" * 30000 + "</div>" * 60000, "<script></script " * 60000, "<video></svg>" * 60000])
+def test_many_open_elements_take_linear_time(page):
+    assert isinstance(main_text(page), str)
+
+
 def brute(cost, smooth):
     best = None
     for mask in range(1 << len(cost)):
