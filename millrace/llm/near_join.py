@@ -14,6 +14,8 @@ the orders and cannot lose a pair.
    those that have not under a further order leave, and the rest is verified. A group of copies costs a comparison each,
    pairs never become rows, and no link that could join two components is left out: the components are those of all links.
 
+`near_join` gives components alone; `near_links` gives every link, by step 3 without the components.
+
 Verification sends a text to the pairs of its pivot; pivots with many partners are split by salt.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; fewer words than a
@@ -329,9 +331,9 @@ def _remaining(rows: DataFrame, percent: int) -> DataFrame:
     return written(placed.mapInArrow(run, "p bigint, i bigint, j bigint, rid bigint, pairs binary"))
 
 
-def _settle(blocks: DataFrame, rows: DataFrame, hot, percent: int, orders: int) -> DataFrame:
-    """A forest (a, b) of the similar pairs of each block. Pairs leave when they cannot be similar under one of the
-    further orders; what is left is verified on the whole sets."""
+def _settle(blocks: DataFrame, rows: DataFrame, hot, percent: int, orders: int, *, forest: bool = True) -> DataFrame:
+    """A forest (a, b) of the similar pairs of each block, or all of them. Pairs leave when they cannot be similar under one
+    of the further orders; what is left is verified on the whole sets."""
     sent = blocks.join(rows.select("rid", "text"), "rid").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,24 +354,24 @@ def _settle(blocks: DataFrame, rows: DataFrame, hot, percent: int, orders: int)
             size = n[left]
             able = able[np.ix_(left, left)] & (100 * both >= percent * (size[:, None] + size[None, :] - both))
             a, b = np.nonzero(able)
+            at = rid[left]
+            if not forest:
+                yield pa.RecordBatch.from_arrays([pa.array(at[a]), pa.array(at[b])], ["a", "b"])
+                continue
             root = np.arange(len(left))
             edges = []
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 if root[x] != root[y]:
                     edges.append((x, y))
                     root[root == root[y]] = root[x]
-            at = rid[left]
             yield pa.RecordBatch.from_arrays([pa.array([int(at[x]) for x, _ in edges], pa.int64()), pa.array([int(at[y]) for _, y in edges], pa.int64())], ["a", "b"])
 
     return written(sent.mapInArrow(run, "a bigint, b bigint"))
 
 
-def classify(docs: DataFrame, columns: list[str], *, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows of docs (rid, `columns`, text) and for each rid its doc_id, set size n, the set's
-    key and the component's smallest rid, comp.
-
-    Texts link if 100 * |A & B| >= percent * |A | B|.
-    """
+def _prepared(docs: DataFrame, columns: list[str], percent: int) -> tuple:
+    """The numbered rows of docs; of each the set's size n and key; of each key the first rid; the classes' shared prefix
+    tokens; the frequent cells."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = numbered(docs, columns)
@@ -377,8 +379,16 @@ def classify(docs: DataFrame, columns: list[str], *, percent: int = PERCENT, ord
     hot = spark.sparkContext.broadcast(_frequent(found))
     sets = found.where("kind = 0").select("rid", "n", "key")
     classes = written(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid")))
+    return rows, sets, classes, _shared(_prefixes(rows.join(classes.select("rid"), "rid"), 0, hot, percent)), hot
+
 
-    shared = _shared(_prefixes(rows.join(classes.select("rid"), "rid"), 0, hot, percent))
+def classify(docs: DataFrame, columns: list[str], *, percent: int = PERCENT, orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows of docs (rid, `columns`, text) and for each rid its doc_id, set size n, the set's
+    key and the component's smallest rid, comp.
+
+    Texts link if 100 * |A & B| >= percent * |A | B|.
+    """
+    rows, sets, classes, shared, hot = _prepared(docs, columns, percent)
     links = _verify(_stars(shared, percent), rows, percent)
     blocks = _remaining(_unsettled(shared, components(links)), percent)
     joined = components(links.unionAll(_settle(blocks, rows, hot, percent, orders)))
@@ -401,6 +411,23 @@ def near_join(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def near_links(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+    """class_a, class_b, rows_a, rows_b of every two different shingle sets of docs (doc_id, text) that link, once: the smallest
+    doc_id and the number of rows with each set, class_a being the smaller one.
+
+    Rows of one class link as well: a row has rows - 1 links in its class and those of the classes linked with it. Near copies of n
+    sets have n² / 2 links; they become rows here, block by block.
+    """
+    rows, sets, classes, shared, hot = _prepared(docs, ["doc_id", "text"], percent)
+    alone = shared.select("token", "rid", "n", "last", F.col("rid").alias("comp"))
+    links = _settle(_remaining(alone, percent), rows, hot, percent, orders, forest=False).distinct()
+    sizes = rows.select("rid", "doc_id").join(sets.where("n > 0"), "rid").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+    ends = written(classes.join(sizes, "key").select("rid", F.struct(F.col("id").isNull(), "id", "rows").alias("end")))
+    links = links.join(ends.select(F.col("rid").alias("a"), F.col("end").alias("x")), "a").join(ends.select(F.col("rid").alias("b"), F.col("end").alias("y")), "b")
+    links = links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return links.select(F.col("x.id").alias("class_a"), F.col("y.id").alias("class_b"), F.col("x.rows").alias("rows_a"), F.col("y.rows").alias("rows_b"))
+
+
 def keep_one(docs: DataFrame, *, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """docs without the rows that link, directly or through others, to one of smaller doc_id.
 

@@ -78,6 +78,30 @@ def test_every_order_alone_is_exact(spark):
     assert run(spark, rows, orders=1) == run(spark, rows, orders=4) == expected(rows)
 
 
+@pytest.mark.parametrize("block", [8, near_join.BLOCK])
+def test_links_are_all_pairs_of_sets(spark, monkeypatch, block):
+    monkeypatch.setattr(near_join, "BLOCK", block)
+    texts = variants(7, 60, 300, 8) + variants(8, 20, 9, 3)
+    rows = [*enumerate(texts + texts[:15] + ["", None, "a b", "A  b"]), (None, "nobody's text"), (None, texts[3])]
+    ids = {}
+    for key, text in rows:
+        if shingles(text):
+            ids.setdefault(frozenset(shingles(text)), []).append(key)
+    sets = list(ids)
+    least = [min((x for x in ids[s] if x is not None), default=None) for s in sets]
+    want = []
+    for a in range(len(sets)):
+        for b in range(a):
+            k = len(sets[a] & sets[b])
+            if 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+                x, y = sorted((least[c], len(ids[sets[c]])) for c in (a, b))
+                want.append((x[0], y[0], x[1], y[1]))
+    got = near_join.near_links(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.columns == ["class_a", "class_b", "rows_a", "rows_b"]
+    assert len(want) > 300 and sorted(map(tuple, got.collect())) == sorted(want)
+    assert near_join.near_links(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
 def test_empty_table_and_keep_one(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_join.near_join(docs).count() == 0
