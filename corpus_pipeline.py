@@ -51,7 +51,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixed),
     ("BPE encoding", encoded),
 ]
-#: Neither the classifier nor the tokenizer can be written in SQL; the tests hold the stages against brute force.
+#: Neither the classifier nor the tokenizer can be written in SQL; a test holds the rows of each stage and of run() against plain
+#: computations on a small fixture, with the classifier's weights as fitted.
 ORACLE_SQL = None
 
 
