@@ -2,7 +2,7 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k): all grades share the weights w of the hashed text and differ only in
 their ordered thresholds. x marks which words, word shapes and repetition levels a text has: lower-cased
-words by presence; shapes (capitals, letters, digits, other marks in runs) and repetitions by presence at a coarse level of
+words by presence, and so the character 2- and 3-grams of words of scripts without spaces and of very long ones; shapes (capitals, letters, digits, other marks in runs) and repetitions by presence at a coarse level of
 their share. Grades come from ratings: 0 poor, 1 fair writing that is abusive, 2 good.
 
 The fit uses at most `sample` labelled rows, those of least hash of doc_id, and runs on the driver; the rest
@@ -36,6 +36,11 @@ TAIL = 0.1
 #: A bucket needs this many texts of the sample to get a weight.
 SUPPORT = 3
 LEVELS = np.array([0.01, 0.05, 0.15, 0.4, 0.75])
+#: Words of more characters than LONG, or with any of scripts that put no spaces between words, also count by their runs of GRAMS characters.
+LONG, GRAMS = 40, (2, 3)
+_spaceless = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Characters of words that a worker remembers.
+HELD = 1 << 24
 _edge = re.compile(r"^\W+|\W+$")
 
 
@@ -45,8 +50,14 @@ def bucket(text: str) -> int:
 
 def shape(word: str) -> str:
     """"AND!!" -> "A!", "Then," -> "Aa,", "x***" -> "a*"."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
-    return re.sub(r"(.)\1+", r"\1", out)[:8]
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return re.sub(r"(.)\1+", r"\1", out)
+
+
+def grams(word: str) -> np.ndarray:
+    """The buckets of a word's runs of GRAMS characters."""
+    word = word.lower()
+    return np.array([bucket("g:" + x) for x in {word[k : k + n] for n in GRAMS for k in range(len(word) - n + 1)}], np.int32)
 
 
 class _Words(dict):
@@ -57,11 +68,16 @@ class _Words(dict):
         self.buckets: list[int] = []
         self.shapes: list[int] = []
         self.names: dict[str, int] = {}
+        self.grams: dict[int, np.ndarray] = {}
+        self.size = 0
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self.buckets)
         self.buckets.append(bucket("w:" + _edge.sub("", word).lower()))
         self.shapes.append(self.names.setdefault(shape(word), len(self.names)))
+        if len(word) > LONG or not word.isascii() and _spaceless.search(word):
+            self.grams[number] = grams(word)
+        self.size += len(word)
         return number
 
 
@@ -75,11 +91,12 @@ def _level(share: float) -> int:
 def features(batch: list[str]) -> list[np.ndarray]:
     """The buckets that each text has, sorted and distinct."""
     global _seen
-    if len(_seen) > 300_000:
+    if len(_seen) > 300_000 or _seen.size > HELD:
         _seen = _Words()
     numbers = [np.fromiter(map(_seen.__getitem__, found), np.int64, len(found)) for found in map(str.split, batch)]
     buckets, shapes = np.array(_seen.buckets, np.int64), np.array(_seen.shapes, np.int64)
-    names = list(_seen.names)
+    names, long = list(_seen.names), np.zeros(len(buckets), bool)
+    long[list(_seen.grams)] = True
     out = []
     for text, own in zip(batch, numbers, strict=True):
         n = len(own)
@@ -87,13 +104,12 @@ def features(batch: list[str]) -> list[np.ndarray]:
             out.append(np.empty(0, np.int32))
             continue
         distinct = np.unique(own)
-        count = np.bincount(shapes[own])
-        extra = [f"s:{names[k]}:{_level(count[k] / n)}" for k in np.flatnonzero(count)]
+        extra = [f"s:{names[k]}:{_level(count / n)}" for k, count in zip(*np.unique(shapes[own], return_counts=True), strict=True)]
         extra.append(f"again:{_level(float((own[1:] == own[:-1]).mean()) if n > 1 else 0)}")
         extra.append(f"fresh:{int(8 * len(distinct) / n) if n >= 20 else 9}")
         lines = [x for x in text.split("\n") if x.strip()]
         extra.append(f"lines:{_level(1 - len(set(lines)) / len(lines)) if lines else 0}")
-        out.append(np.unique(np.r_[buckets[distinct], [bucket(x) for x in extra]]).astype(np.int32))
+        out.append(np.unique(np.concatenate([buckets[distinct], [bucket(x) for x in extra], *[_seen.grams[k] for k in distinct[long[distinct]].tolist()]])).astype(np.int32))
     return out
 
 

@@ -26,6 +26,23 @@ def test_fit_orders_grades():
     assert means[0] < means[1] < means[2]
 
 
+def test_texts_without_spaces_get_weights():
+    """Good and poor texts of one long word each, which only runs of characters inside them tell apart."""
+    rng = np.random.default_rng(3)
+    kinds = ["".join(map(chr, range(0x4E00 + 100 * k, 0x4E00 + 100 * k + 40))) for k in range(2)]
+    for alphabets in (kinds, ["abcdefghij", "klmnopqrst"]):
+        texts = ["".join(rng.choice(list(alphabets[k % 2]), 60)) for k in range(400)]
+        found = quality.features(texts)
+        model = quality.fit(found[:300], np.array([2 if k % 2 else 0 for k in range(300)]))
+        top = model.tails(found[300:])[:, -1]
+        assert top[1::2].min() > top[0::2].max()
+
+
+def test_shapes_read_the_whole_word():
+    assert quality.shape("a" * 50 + "!") == "a!" and quality.shape("x1" * 30) == "a0" * 30
+    assert quality.shape("AND!!") == "A!" and quality.shape("Then,") == "Aa,"
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
