@@ -28,7 +28,11 @@ PATTERNS = {
     "phone": r"(?<![\d.\w])(\+?[0-9]{1,3}[ .-]?)?(\(?\d{2,4}\)?[ .-]?)\d{3,4}[ .-]?\d{3,5}(?![\d.])",
 }
 KINDS = tuple(PATTERNS)
+#: Addresses of the own machine.
 LOCAL = ("0.0.0.0", "127.0.0.1", "::1")
+#: Without one of these no pattern matches: an at sign, a digit of any script (or a sign that the JVM does not know, as it may be one),
+#: the start of a key, a group of an IPv6 address of letters alone.
+ABLE = r"[@\p{Nd}\p{Cn}]|sk-|AKIA|gh[po]_|github_pat_|xox[baprs]-|AIza|eyJ|:[a-fA-F]{1,4}:"
 _compiled = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
 
 
@@ -99,7 +103,6 @@ def redact(c: Column, kinds: tuple[str, ...] = (), mode: str = "tag") -> Column:
         done = [(None, None) if x is None else redact_text(x, kinds, mode) for x in values]
         return pd.DataFrame({"text": [a for a, _ in done], "counts": [None if b is None else dict(b) for _, b in done]})
 
-    # every pattern needs an at sign, a digit or one of the key prefixes
-    able = F.when(c.rlike(r"[@0-9]|sk-|gh[po]_|github_pat_|xox|AIza|eyJ"), c)
+    able = F.when(c.rlike(ABLE), c)
     found = run(able)
     return F.when(found["text"].isNotNull(), found).otherwise(F.when(c.isNotNull(), F.struct(c.alias("text"), F.create_map().cast("map<string,int>").alias("counts"))))

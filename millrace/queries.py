@@ -173,10 +173,9 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _tags = "html"
-for _tag in text.DROPPED:
-    _tags = f"regexp_replace({_tags}, '(?i)<{_tag}[^>]*>[\\s\\S]*?</{_tag}>', ' ', 'g')"
-_tags = f"regexp_replace(regexp_replace(regexp_replace({_tags}, '<!--[\\s\\S]*?-->', ' ', 'g'), '(?i)</?({text.BLOCKS})[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"
-_tags = sql_trim(f"regexp_replace(regexp_replace(regexp_replace({_tags}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+for _pattern, _instead in text.TAG_STEPS:
+    _tags = f"regexp_replace({_tags}, '{_pattern}', '{_instead}', 'g')"
+_tags = sql_trim(_tags)
 
 
 @query("strip_html", f"SELECT page_id, {_tags} AS text FROM pages")
@@ -278,6 +277,17 @@ def pii_remove_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(documents(spark, sf_dir), ops.RedactPII(("text",), ("email",), "remove"), ops.SelectColumns(("doc_id", "text")))
 
 
+#: Keys and addresses built from row numbers, in words that hold no digit but those of the address.
+_secrets = "CASE o_orderkey % 4 WHEN 0 THEN 'key AKIA' || translate(lpad(o_orderkey::VARCHAR, 16, '0'), '0123456789', 'ABCDEFGHIJ') || ' here' WHEN 1 THEN 'ip abcd:ef:abcd:ef:abcd end' WHEN 2 THEN 'host 10.' || o_orderkey % 200 || '.0.1, local 127.0.0.1' ELSE o_orderpriority END"
+_hidden = "CASE o_orderkey % 4 WHEN 0 THEN 'key [APIKEY] here' WHEN 1 THEN 'ip [IPADDRESS] end' WHEN 2 THEN 'host [IPADDRESS], local 127.0.0.1' ELSE o_orderpriority END"
+
+
+@query("pii_keys", f"SELECT o_orderkey, {_hidden} AS note FROM orders")
+def pii_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "orders", "o_orderkey").select(RID, "o_orderkey", F.expr(_secrets.replace("::VARCHAR", "::STRING")).alias("note"))
+    return plan(given, ops.RedactPII(("note",), ("apiKey", "ipAddress")))
+
+
 @query("pii_all")
 def pii_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(documents(spark, sf_dir), ops.RedactPII(("text",), mode="hash"), ops.SelectColumns(("doc_id", "text")))

@@ -125,12 +125,9 @@ def read_text(spark: SparkSession, content: str, source: str, mode: str) -> Data
 
 def _page(content: str) -> str:
     """The text of an HTML file: tags stripped, entities decoded. The same steps as the native columns."""
-    for tag in text.DROPPED:
-        content = re.sub(rf"(?i)<{tag}[^>]*>[\s\S]*?</{tag}>", " ", content)
-    content = re.sub(r"<!--[\s\S]*?-->", " ", content)
-    content = re.sub(rf"(?i)</?({text.BLOCKS})[^>]*>", "\n", content)
-    content = re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", re.sub(r"<[^>]+>", "", content)))
-    return text.decode_entities_text(re.sub(r"\n{3,}", "\n\n", content).strip(chunks.SPACES))
+    for pattern, instead in text.TAG_STEPS:
+        content = re.sub(pattern, instead, content)
+    return text.decode_entities_text(content.strip(chunks.SPACES))
 
 
 def read_file(spark: SparkSession, path: str, *, mode: str = "wholeFile", table: str | None = None) -> Imported:
