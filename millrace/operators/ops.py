@@ -18,6 +18,7 @@ from ..functions import chunks, language, parsing, pii, quality, text
 from ..functions.expressions import compile_condition, compile_node, parse
 from ..functions.tokens import Estimator, Tokenizer
 from ..functions.values import RID, SPARK_TYPES, kind_of, show, unique_name
+from ..plans.tables import written
 from . import augment, fuzzy
 
 
@@ -209,8 +210,9 @@ class DedupeFuzzy:
     def apply(self, df: DataFrame, ctx: Context) -> Step:
         if self.column not in columns_of(df):
             return Step(df)
-        dropped = fuzzy.near_duplicates(df.select(RID, shown(df, self.column).alias("text")), self.threshold).where("rid <> component")
-        return Step(df.join(dropped.select(F.col("rid").alias(RID)), RID, "left_anti").select(*df.columns))
+        dropped = written(fuzzy.near_duplicates(df.select(RID, shown(df, self.column).alias("text")), self.threshold).where("rid <> component"))
+        clusters = dropped.select("component").distinct().count()
+        return Step(df.join(dropped.select(F.col("rid").alias(RID)), RID, "left_anti").select(*df.columns), notes={"clusters": str(clusters)})
 
 
 @dataclass(frozen=True)
@@ -322,9 +324,17 @@ class AddQualityScore:
         return Step(df.withColumn(unique_name("quality_score", df.columns), quality.score(shown(df, self.column))), {"cells": F.count("*")})
 
 
+#: Ids that a cell of the prefix sums over rows spans, as a power of two.
+CELL_BITS = 16
+
+
 @dataclass(frozen=True)
 class ChunkText:
-    """One row for each chunk. First chunks keep their row's id; the others get fresh ids above the largest."""
+    """One row for each chunk. First chunks keep their row's id; the others get the ids above the largest, in the order of rows and chunks.
+
+    The chunks are written once. How many of them come before a row's is a sum over cells of ids and one over the rows of a
+    cell, so no task sees all rows.
+    """
 
     column: str
     config: chunks.ChunkerConfig = chunks.ChunkerConfig()
@@ -334,15 +344,19 @@ class ChunkText:
         made = ["chunk_index", "chunk_tokens", "heading_path"]
         taken = list(df.columns)
         names = [taken.append(name := unique_name(m, taken)) or name for m in made]
-        wide = df.withColumn("__chunk", F.explode(chunks.chunk(shown(df, self.column), self.config, ctx.tokenizer)))
+        wide = written(df.withColumn("__chunks", chunks.chunk(shown(df, self.column), self.config, ctx.tokenizer)))
+        more = wide.select(F.col(RID).alias("__row"), F.shiftright(RID, CELL_BITS).alias("__cell"), (F.size("__chunks") - 1).alias("__more")).where("__more > 0")
+        earlier = (Window.unboundedPreceding, -1)
+        cells = more.groupBy("__cell").agg(F.sum("__more").alias("__all")).select("__cell", F.coalesce(F.sum("__all").over(Window.orderBy("__cell").rowsBetween(*earlier)), F.lit(0)).alias("__lower"))
+        inside = more.withColumn("__inside", F.coalesce(F.sum("__more").over(Window.partitionBy("__cell").orderBy("__row").rowsBetween(*earlier)), F.lit(0)))
+        before = inside.join(cells, "__cell").select("__row", (F.col("__lower") + F.col("__inside")).alias("__before"))
+        most = wide.agg(F.coalesce(F.max(RID), F.lit(-1)).alias("__most"))
+        placed = wide.join(before, wide[RID] == before["__row"], "left").crossJoin(F.broadcast(most))  # one row
         part = F.col("__chunk")
-        most = df.agg(F.coalesce(F.max(RID), F.lit(-1)).alias("__most"))
-        # above the largest, in the order in which the chunks lie, without a global window
-        fresh = F.when(part["index"] == 0, F.col(RID)).otherwise(F.col("__most") + 1 + F.monotonically_increasing_id())
-        out = wide.crossJoin(F.broadcast(most)).select(  # one row
-            fresh.alias(RID),
+        out = placed.withColumn("__chunk", F.explode("__chunks")).select(
+            F.when(part["index"] == 0, F.col(RID)).otherwise(F.col("__most") + F.col("__before") + part["index"]).alias(RID),
             *[part["text"].alias(c) if c == self.column else F.col(f"`{c}`") for c in columns_of(df)],
-            part["index"].alias(names[0]), part["tokens"].alias(names[1]), part["heading_path"].alias(names[2]),
+            part["index"].alias(names[0]), part["tokens"].alias(names[1]), F.nullif(part["heading_path"], F.lit("")).alias(names[2]),
         )
         return Step(out)
 
@@ -388,4 +402,6 @@ class Augment:
         return Step(out, measures, finish)
 
 
+#: Operators that join rows with what was found out about them by id.
+BY_ID = (DedupeFuzzy, Decontaminate, ChunkText, Split)
 Op = SelectColumns | DropColumns | RenameColumn | AddColumn | FilterRows | NormalizeText | UnifyNulls | AutoType | CoerceType | DedupeExact | DedupeFuzzy | RedactPII | QualityFilter | LanguageFilter | Decontaminate | AddTokenCount | AddLanguage | AddQualityScore | ChunkText | Split | Augment

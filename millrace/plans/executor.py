@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import MillraceError
 from ..functions.values import RID
 from ..operators import ops
+from .tables import written
 
 TOP_NOTES = 8
 
@@ -69,16 +70,22 @@ class Result:
         return out
 
 
-def with_ids(df: DataFrame) -> DataFrame:
-    """df with row ids in its order, for frames that no reader of this library made."""
-    return df if RID in df.columns else df.withColumn(RID, F.monotonically_increasing_id())
+def with_ids(df: DataFrame, steps: Sequence[ops.Op] = ()) -> DataFrame:
+    """df with row ids in its order, for frames that no reader of this library made.
+
+    Steps that join on the ids would compute them on either side of the join, where they might differ; the frame is written first then.
+    """
+    if RID in df.columns:
+        return df
+    df = df.withColumn(RID, F.monotonically_increasing_id())
+    return written(df) if any(isinstance(op, ops.BY_ID) for op in steps) else df
 
 
 def run(df: DataFrame, steps: Sequence[ops.Op], *, context: ops.Context | None = None, measure: bool = True) -> Result:
     """The plan of all steps over df (with `_rid`)."""
     context = context or ops.Context()
     watched: list[_Watched] = []
-    df = with_ids(df)
+    df = with_ids(df, steps)
     rows = F.count("*").alias("rows")
     before = Observation()
     if measure:

@@ -3,28 +3,38 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import MillraceError
+
 _made: dict[str, SparkSession] = {}
 _named: dict[str, SparkSession] = {}
+#: Bytes that a bucket should hold, by the planner's estimate of a table's size.
+BUCKET_BYTES = 256 << 20
+
+
+def _delete(root: str) -> None:
+    spark = _made.pop(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop(name: str) -> None:
+    _named.pop(name).sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _clean_up() -> None:
-    for name, spark in _named.items():
-        try:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        except Exception:  # noqa: BLE001  the session has ended, and its catalog with it
-            break
-    for root, spark in _made.items():
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session has ended: nothing can be reached any more
-            return
+    for names, remove in ((_named, _drop), (_made, _delete)):
+        for name in list(names):
+            try:
+                remove(name)
+            except Exception:  # noqa: BLE001  the session has ended: nothing can be reached any more
+                break
 
 
 atexit.register(_clean_up)
@@ -33,9 +43,14 @@ atexit.register(_clean_up)
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's spark.checkpoint.dir, deleted when the driver ends.
 
-    Only where that setting is absent (tests on one machine) a temporary folder stands in for it.
+    Only on a single machine a temporary folder stands in for a missing setting; executors elsewhere would not see it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise MillraceError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
     root = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
     _made[root] = spark
     return root
@@ -50,17 +65,42 @@ def written(df: DataFrame, *, partitions_by: list[str] | None = None) -> DataFra
     if partitions_by:
         writer = writer.partitionBy(*partitions_by)
     writer.parquet(root)
-    return spark.read.schema(df.schema).parquet(root)
+    out = spark.read.schema(df.schema).parquet(root)
+    out._millrace = (root, None)
+    return out
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for df: the session's shuffle partitions, or more where these would hold too much each.
+
+    A bucket is read by one task, and adaptive execution cannot split it, so the number follows the estimated size.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES)))
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Write df in buckets of a key and read it again: joins on the key shuffle the other side alone."""
     spark = df.sparkSession
-    name = f"millrace_{uuid.uuid4().hex}"
+    name, root = f"millrace_{uuid.uuid4().hex}", shared_folder(spark)
     _named[name] = spark
-    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/rows")
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{root}/rows")
     writer.bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out._millrace = (root, name)
+    return out
+
+
+def freed(*frames: DataFrame) -> None:
+    """Delete tables made by `written` or `bucketed`. No plan that has still to run may read them."""
+    for frame in frames:
+        root, name = getattr(frame, "_millrace", (None, None))
+        if name in _named:
+            _drop(name)
+        if root in _made:
+            _delete(root)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -84,9 +124,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        freed(star, least)
         least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         star = written(small.where("u <> v").distinct())
+        freed(large, least)
         now = star.agg(F.count("*"), mark).head()
         if now == seen:
             break

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -70,18 +70,15 @@ def _bytes(spark: SparkSession, path: str, most: int | None = None) -> bytes:
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Dense ids from 0 in the frame's order, or that of columns: rows of each partition are counted, and a
-    row's id is the count before its partition plus its place inside. The counts are one number a partition."""
-    df = df.withColumn(RID, F.monotonically_increasing_id()) if not order else written(df.orderBy(*order).withColumn(RID, F.monotonically_increasing_id()))
-    names = [c for c in df.columns if c != RID]
-    part = F.shiftright(RID, 33)
-    before, total = {}, 0
-    for row in df.groupBy(part.alias("part")).count().orderBy("part").collect():
-        before[row["part"]] = total - (row["part"] << 33)
-        total += row["count"]
-    if not before:
-        return df.select(RID, *[F.col(f"`{c}`") for c in names])
-    shift = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), part)
-    return df.select((F.col(RID) + shift).alias(RID), *[F.col(f"`{c}`") for c in names])
+    row's id is the count before its partition plus its place inside. The counts are joined, one row a partition."""
+    sorted_ = df.orderBy(*order) if order else df
+    rows = written(sorted_.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    starts = counts.select("__part", (before - F.shiftleft("__part", 33)).alias("__shift"))
+    out = rows.withColumn("__part", part).join(starts, "__part")
+    return out.select((F.col("__at") + F.col("__shift")).alias(RID), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def _kind(values: list) -> str:
