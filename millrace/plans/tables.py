@@ -16,6 +16,8 @@ _made: dict[str, SparkSession] = {}
 _named: dict[str, SparkSession] = {}
 #: Bytes that a bucket should hold, by the planner's estimate of a table's size.
 BUCKET_BYTES = 256 << 20
+#: Spark's estimate for what it cannot measure is larger than this.
+UNKNOWN_BYTES = 1 << 60
 
 
 def _delete(root: str) -> None:
@@ -73,10 +75,13 @@ def written(df: DataFrame, *, partitions_by: list[str] | None = None) -> DataFra
 def bucket_count(df: DataFrame) -> int:
     """Buckets for df: the session's shuffle partitions, or more where these would hold too much each.
 
-    A bucket is read by one task, and adaptive execution cannot split it, so the number follows the estimated size.
+    A bucket is read by one task, and adaptive execution cannot split it, so the number follows the size of the tables that
+    df reads; frames without a known size, as of local rows, count for nothing.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(n for n in sizes if n < UNKNOWN_BYTES)
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
     return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES)))
 
