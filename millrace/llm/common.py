@@ -10,9 +10,9 @@ import pyarrow.compute  # noqa: F401  makes pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import bucketed, components, shared_folder, spread, written
+from ..plans.tables import bucket_count, bucketed, components, freed, shared_folder, spread, written
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "bucketed", "column", "components", "count_words", "load", "mix64", "numbered", "raw_texts", "shared_folder", "shielded", "slices", "spread", "texts", "words_of", "written"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "bucket_count", "bucketed", "column", "components", "count_words", "freed", "load", "mix64", "numbered", "raw_texts", "shared_folder", "shielded", "slices", "spread", "texts", "words_of", "written"]
 
 #: A word is a run without ASCII white space; lower-casing touches A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,7 +98,6 @@ def shielded(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[D
 def numbered(docs: DataFrame, columns: list[str], *, buckets: int | None = None) -> DataFrame:
     """docs with a row number `rid`, written once and bucketed by it: what later joins on rid is shuffled,
     the texts are not. Rows stay apart even if their ids are null or repeat."""
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or bucket_count(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), *columns)
     return bucketed(rows.repartition(buckets, "rid"), "rid", buckets)

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from millrace.llm import repeats
 
@@ -55,6 +56,30 @@ def test_brute_force(spark, seed, crowd):
     assert run(spark, rows, length=40, gram=10, crowd=crowd) == expected(rows, 40)
 
 
+@pytest.mark.parametrize("digit", [8, 13, 40])
+def test_digits(spark, digit):
+    rows = corpus(5)
+    assert run(spark, rows, length=40, gram=10, digit=digit) == expected(rows, 40)
+
+
+def test_equal_hashes_do_not_decide():
+    """With a hash that takes all windows for equal, the bytes still tell them apart."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab") for _ in range(14)) + "same" + "".join(rng.choice("ab") for _ in range(14)) for _ in range(200)]
+    length, gram, wide = 8, 4, 4
+    grid = np.array([list(t[14 - wide : 14 + length].encode()) for t in texts], np.uint8)
+    real = repeats._hashes
+    ends = np.zeros(len(texts), np.int64), np.full(len(texts), wide)
+    want = np.array([[sum(u[14 - o : 22 - o] == t[14 - o : 22 - o] for u in texts) > 1 for o in range(wide + 1)] for t in texts])
+    for weak in (False, True):
+        repeats._hashes = (lambda through, width: np.zeros((len(through), through.shape[-1] - width), np.uint64)) if weak else real
+        try:
+            got = repeats._marks(grid, np.ones(len(texts), np.uint64), *ends, length, gram, 3)
+        finally:
+            repeats._hashes = real
+        assert (got == want).all()
+
+
 def test_production_length(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert run(spark, rows) == expected(rows, 400)
