@@ -168,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` narrow rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id")
+    # one text of each rated id, however many rows share it: at most `sample` texts come to the driver as numbers
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rated), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -185,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model
 
 
 def grade(docs: DataFrame, model: Model | None, *, tail: float = TAIL) -> DataFrame:
-    """docs with expected_grade, p_top (probability of the highest grade) and keep."""
+    """docs with expected_grade, p_top (probability of the highest grade) and keep, which replace columns of these names."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -60,7 +60,7 @@ def plain_distinct(rows):
     return [min((r for r, g in zip(rows, group, strict=True) if g == own), key=lambda r: r[0]) for own in set(group)]
 
 
-def plain_without_repeats(rows, length=400):
+def plain_without_repeats(rows, length=corpus_pipeline.PASSAGE):
     seen = Counter(t[p : p + length] for _, t, _ in rows for p in range(len(t) - length + 1))
     for key, text, source in rows:
         gone = {q for p in range(len(text) - length + 1) if seen[text[p : p + length]] > 1 for q in range(p, p + length)}
@@ -107,12 +107,13 @@ def test_stages_in_order_and_whole(spark, small):
 
 def test_stages_survive_odd_rows_and_names(spark, small):
     rows = [(1, "some text that is here to stay", None, 1, 2, 3, 4), (1, "some text that is here to stay", "a", 1, 2, 3, 4), (None, None, "a", 1, 2, 3, 4), (2, "", "b", 1, 2, 3, 4), (3, "y " * 5000, "b", None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, rid int, n_copies int, whole int, kept int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, rid int, n_copies int, keep int, `kept.a` int")
     for frame in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, small)
             assert out.count() <= 3 * frame.count(), name
             assert name == "BPE encoding" or out.columns == docs.columns
+            assert name == "BPE encoding" or {r.keep for r in out.collect()} <= {3, None}
 
 
 def test_run_gives_ids(spark, small):
