@@ -1,17 +1,17 @@
-"""Scores of texts under an n-gram model of the corpus, read by a weighted backoff automaton.
+"""Scores of texts under a trigram model of the corpus, read by a weighted backoff automaton.
 
-States are the empty context and every word that occurs often enough (`support`) to have a follower. From a word's state
-arcs lead on each follower seen often enough, weighing (c(hw) - discount) / c(h) + back(h) * p(w); any other word takes the failure
-arc, weighing back(h), to the empty context, whose arcs weigh p(w) = (c + 0.1) / (N + 0.1 * (V + 1)). back(h) is the mass that the
-discount and the followers left out set free, so each state's weights sum to one. A text is read once from
-left to right, starting in the state of the end token, and the logarithms are added up. Both limits are counts, not shares of
-the corpus, so the states and arcs gathered grow with it.
+States are the empty context, every word and every pair of words seen often enough (`support`) to have a follower. From the state
+h arcs lead on each follower seen often enough, weighing (c(hw) - discount) / c(h) + back(h) * p(w | h'), h' being h without its
+first word; any other word takes the failure arc to h', weighing back(h). The empty context's arcs weigh
+p(w) = (c + 0.1) / (N + 0.1 * (V + 1)). back(h) is the mass that the discount and the followers left out set free, so each state's
+weights sum to one. A text is read once from left to right, starting in the state of the end token, and the logarithms are
+added up. The limit is a count, not a share of the corpus, so states and arcs grow with it.
 
 Texts are read and cut into words once, into chunks of bounded size: a chunk keeps its texts as word numbers of its own.
-A chunk's distinct pairs of words, as sorted 64-bit hashes with their counts, are cut by hash into parts; a part sums the
-pairs of all chunks and sends each chunk the totals of its own pairs, in their order. The chunk then gives one row for each of
-its words, however often it occurs there, with what the word's followers keep; these are summed over the corpus and sent back
-to the chunks that asked. Nothing but three sums reaches the driver, and nothing all executors.
+A chunk's distinct words, pairs and triples, as sorted 62-bit hashes with their counts in training texts, are cut by hash
+into parts; a part sums those of all chunks and sends each chunk the totals of its own, in their order. In a second exchange of the
+same kind chunks sum what the followers of each context keep, each follower being counted by the first chunk that has it. So
+what is common is summed by parts in packed arrays and never stands in rows of one key. Two sums reach the driver, nothing all executors.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is drawn like the empty string; rows with equal
 doc_ids stay rows of their own; without training texts every count is 0; an empty table gives no rows; further columns
@@ -27,18 +27,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bucketed, column, raw_texts, slices, words_of, written
+from .common import bounded_batches, bucket_count, bucketed, column, mix64, raw_texts, slices, words_of, written
 
 #: Bytes of text in a chunk; a longer text stands alone.
-CHUNK = 10 << 20
-#: Share of all tokens below which words get no state and are no followers (0: none are left out); times that a follower must
-#: occur; discount.
-SHARE, SUPPORT, DISCOUNT = 0.0, 2, 0.75
-#: Parts of the pairs' hashes: so many at least, and of about so many tokens.
+CHUNK = 6 << 20
+#: Times that a follower must occur to have an arc; discount.
+SUPPORT, DISCOUNT = 2, 0.75
+#: Parts of the hashes: so many at least, and of about so many tokens.
 PARTS, PART = 1024, 1_000_000
+#: Kinds of n-grams, in the lowest bits of their hashes.
+WORD, PAIR, TRIPLE = 1, 2, 3
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 END = b""
 ADDED = 0.1
 
@@ -110,125 +112,152 @@ def _before(tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+class _Grams:
+    """The distinct n-grams of one length of a chunk: sorted `keys`, `n` (their counts in training texts), `which` of them ends at
+    each of the positions `at`, and the number of their `context` among the n-grams one shorter."""
+
+    def __init__(self, hashes: np.ndarray, kind: int, at: np.ndarray, train: np.ndarray, before: np.ndarray | None):
+        keys = (mix64(hashes) & ~np.uint64(3)) | np.uint64(kind)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+        self.keys, self.at = keys[new], at
+        self.which = np.empty(len(keys), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.n = np.bincount(self.which[train[at]], minlength=len(self.keys))
+        self.context = np.empty(len(self.keys), np.int64)
+        if before is not None:
+            self.context[self.which] = before
+
+
 class _Chunk:
-    """A chunk's row unpacked. Its distinct pairs of words are ordered by their hashes `pairs`; `order` has the tokens that end
-    the first pair, then those of the second one and so on, and `starts` where each pair's begin."""
+    """A chunk's row unpacked, with its distinct words, pairs and triples."""
 
     def __init__(self, row: dict):
-        self.number = row["chunk"]
-        self.lengths, self.tokens, held = _unpack(row["lengths"], "<i4"), _unpack(row["tokens"], "<i4"), _unpack(row["held"], "?")
-        self.held, self.train = held, np.repeat(~held, self.lengths)
-        self.words = _unpack(row["words"], "u1").tobytes().split(b"\n")
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        # the state before each token is set by the word before it
-        self.before = _before(self.tokens, self.lengths, row["end"])
-        hashes = keys[self.before] * np.uint64(0x9E3779B97F4A7C15) + keys[self.tokens]
-        self.order = np.argsort(hashes)
-        hashes = hashes[self.order]
-        self.starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        self.pairs = hashes[self.starts]
-
-    def ends(self) -> tuple[np.ndarray, np.ndarray]:
-        """The two words of each pair."""
-        at = self.order[self.starts]
-        return self.before[at], self.tokens[at]
-
-
-def _pairs(chunks: DataFrame, parts: int) -> DataFrame:
-    """chunk, part, keys, n: the distinct pairs of each chunk, n counting training texts."""
-    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                own = _Chunk(batch.slice(k, 1).to_pylist()[0])
-                n = np.add.reduceat(own.train[own.order].astype(np.uint32), own.starts, dtype=np.uint32)
-                part = ((own.pairs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                found, low = np.unique(part, return_index=True)
-                bounds = [*low.tolist(), len(part)]
-                rows, size = [], 0
-                for p, a, b in zip(found.tolist(), bounds, bounds[1:], strict=False):
-                    rows.append({"chunk": own.number, "part": p, "keys": _planes(np.diff(own.pairs[a:b], prepend=np.uint64(0))), "n": _planes(n[a:b])})
-                    size += b - a
-                    if size >= 300_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return chunks.select("chunk", "end", "held", "lengths", "tokens", "words").mapInArrow(run, "chunk bigint, part bigint, keys binary, n binary")
-
-
-def _totals(pairs: DataFrame, support: int) -> DataFrame:
-    """chunk, part, totals: for each pair of a chunk's part, in order, twice its count c in the corpus, or 0 if c < support; one more
-    in the first of the chunks that have the pair."""
-    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("totals", pa.binary())])
-
-    def total(table: pa.Table) -> pa.Table:
+        self.number, self.held, self.lengths = row["chunk"], _unpack(row["held"], "?"), _unpack(row["lengths"], "<i4")
+        tokens, end = _unpack(row["tokens"], "<i4"), row["end"]
+        train = np.repeat(~self.held, self.lengths)
+        spelt = _unpack(row["words"], "u1").tobytes().split(b"\n")
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, spelt), np.uint64, len(spelt))
+        everywhere = np.arange(len(tokens))
+        words = _Grams(keys[tokens], WORD, everywhere, train, None)
+        # the word before each token; texts start after an end
+        previous = _before(tokens, self.lengths, end)
+        number = np.zeros(len(keys), np.int64)
+        number[tokens] = words.which  # every text holds the end token
+        pair = keys[previous] * SPREAD + keys[tokens]
+        pairs = _Grams(pair, PAIR, everywhere, train, number[previous])
+        inside = np.ones(len(tokens), bool)
+        inside[np.cumsum(self.lengths) - self.lengths] = False
+        at = np.flatnonzero(inside)
+        triples = _Grams(mix64(pair[at - 1]) * SPREAD + keys[tokens[at]], TRIPLE, at, train, pairs.which[at - 1])
+        self.grams = [words, pairs, triples]
+        self.bounds = np.cumsum([0, *(len(x.keys) for x in self.grams)])
+        joined = np.concatenate([x.keys for x in self.grams])
+        self.order = np.argsort(joined)
+        self.keys = joined[self.order]
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        """Values by key, for each length of n-grams."""
+        out = np.empty_like(values)
+        out[self.order] = values
+        return [out[a:b] for a, b in zip(self.bounds, self.bounds[1:], strict=False)]
+
+    def states(self, counts: list[np.ndarray], support: int) -> np.ndarray:
+        """Which keys are those of contexts."""
+        live = np.concatenate([counts[0] >= support, counts[1] >= support, np.zeros(len(counts[2]), bool)])
+        return live[self.order]
+
+
+SENT = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+SUMS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("total", pa.int64()), ("distinct", pa.int64()), ("sums", pa.binary())])
+SENT_TYPE, SUMS_TYPE = "chunk bigint, part bigint, keys binary, values binary", "chunk bigint, part bigint, total bigint, distinct bigint, sums binary"
+
+
+def _sent(number: int, keys: np.ndarray, values: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's sorted keys and their values (fields x keys), cut by hash into parts."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    found, low = np.unique(part, return_index=True)
+    bounds = [*low.tolist(), len(part)]
+    rows, size = [], 0
+    for p, a, b in zip(found.tolist(), bounds, bounds[1:], strict=False):
+        rows.append({"chunk": number, "part": p, "keys": _planes(np.diff(keys[a:b], prepend=np.uint64(0))), "values": _planes(np.ascontiguousarray(values[:, a:b]).ravel())})
+        size += b - a
+        if size >= 200_000:
+            yield pa.RecordBatch.from_pylist(rows, SENT)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, SENT)
+
+
+def _summed(sent: DataFrame) -> DataFrame:
+    """For each chunk and part the sums over all chunks of its keys' values, in order, below a row that says whether the chunk is the
+    first that has the key; total and distinct: on one row of a part, of the words' first value the sum, and how many have one."""
+
+    def add(table: pa.Table) -> pa.Table:
         rows = table.sort_by("chunk").to_pylist()
         keys = [np.cumsum(_from_planes(x["keys"], "<u8"), dtype=np.uint64) for x in rows]
-        bounds = np.cumsum([0, *map(len, keys)])
-        keys, n = np.concatenate(keys), np.concatenate([_from_planes(x["n"], "<u4") for x in rows]).astype(np.int64)
+        bounds = np.cumsum([0, *map(len, keys)]).tolist()
+        values = np.concatenate([_from_planes(x["values"], "<i8").reshape(-1, len(k)) for x, k in zip(rows, keys, strict=True)], axis=1)
+        keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        c = np.add.reduceat(n[order], starts)
-        c[c < support] = 0
-        out = np.empty(len(n), np.int64)
-        out[order] = np.repeat(2 * c, np.diff(np.r_[starts, len(n)]))
-        out[order[starts]] += c > 0
-        found = [{"chunk": x["chunk"], "part": x["part"], "totals": _pack(out[a:b])} for x, a, b in zip(rows, bounds, bounds[1:], strict=False)]
-        return pa.Table.from_pylist(found, schema)
+        sums = np.add.reduceat(values[:, order], starts, axis=1)
+        out = np.zeros((len(values) + 1, len(keys)), np.int64)
+        out[0, order[starts]] = 1
+        out[1:, order] = np.repeat(sums, np.diff(np.r_[starts, len(keys)]), axis=1)
+        words = sums[0, (keys[starts] & np.uint64(3)) == WORD]
+        seen = [(int(words.sum()), int((words > 0).sum())), *[(0, 0)] * (len(rows) - 1)]
+        found = [{"chunk": x["chunk"], "part": x["part"], "total": t, "distinct": d, "sums": _pack(np.frombuffer(_planes(np.ascontiguousarray(out[:, a:b]).ravel()), "u1"))} for x, (t, d), a, b in zip(rows, seen, bounds, bounds[1:], strict=False)]
+        return pa.Table.from_pylist(found, SUMS)
 
-    return pairs.groupBy("part").applyInArrow(total, "chunk bigint, part bigint, totals binary")
+    return sent.groupBy("part").applyInArrow(add, SUMS_TYPE)
 
 
-def _joined(table: pa.Table) -> np.ndarray:
-    """A chunk's totals in the order of its pairs."""
-    return np.concatenate([_unpack(x, "<i8") for x in table.sort_by("part")["totals"].to_pylist()])
+def _received(table: pa.Table, fields: int) -> np.ndarray:
+    """A chunk's sums in the order of its keys: first and `fields` more rows."""
+    parts = [_from_planes(_unpack(x, "u1").tobytes(), "<i8").reshape(fields + 1, -1) for x in table.sort_by("part")["sums"].to_pylist()]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((fields + 1, 0), np.int64)
 
 
-def _words(chunks: DataFrame, totals: DataFrame, frequent: DataFrame | None) -> DataFrame:
-    """chunk, local, word, n, kept, types: a chunk's words, their counts n in training texts, and of those of their followers that
-    no earlier chunk has the counts in the corpus and the number. With frequent (chunk, local), pairs of its words alone."""
-    kinds = {"chunk": pa.int64(), "local": pa.int64(), "word": pa.binary(), "n": pa.int64(), "kept": pa.int64(), "types": pa.int64()}
-    schema = pa.schema(list(kinds.items()))
-    limited = frequent is not None
-    right = totals.withColumn("local", F.lit(None).cast("bigint"))
-    if limited:
-        right = right.unionByName(frequent, allowMissingColumns=True)
+def _counted(chunks: DataFrame, parts: int) -> DataFrame:
+    """Each chunk's n-grams with their counts in its training texts."""
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = _Chunk(batch.slice(k, 1).to_pylist()[0])
+                n = np.concatenate([x.n for x in own.grams])[own.order]
+                yield from _sent(own.number, own.keys, n[None, :], parts)
+
+    return chunks.select("chunk", "end", "held", "lengths", "tokens", "words").mapInArrow(run, SENT_TYPE)
+
+
+def _followed(chunks: DataFrame, counts: DataFrame, support: int, parts: int) -> DataFrame:
+    """Each chunk's contexts with the counts and number of their followers that have an arc and that no earlier chunk has."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return schema.empty_table()
+            return SENT.empty_table()
         own = _Chunk(left.to_pylist()[0])
-        size = len(own.words)
-        given = _joined(right.filter(pa.compute.is_valid(right["totals"])))
-        a, b = own.ends()
-        new = given % 2 == 1
-        if limited:
-            live = np.zeros(size, bool)
-            live[right["local"].drop_null().to_numpy()] = True
-            new &= live[a] & live[b]
-        a, c = a[new], given[new] // 2
-        # sums of whole numbers below 2**53 are exact
-        kept, types = np.bincount(a, c, size).astype(np.int64), np.bincount(a, minlength=size)
-        n = np.bincount(own.tokens[own.train], minlength=size)
-        return pa.table([np.full(size, own.number), np.arange(size), pa.array(own.words, pa.binary()), n, kept, types], schema=schema)
-
-    return chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(count, "chunk bigint, local bigint, word binary, n bigint, kept bigint, types bigint")
-
-
-def _asked(words: DataFrame) -> DataFrame:
-    """chunk, local, c, kept, types, first: the words of each chunk with their sums over the corpus."""
-    own = Window.partitionBy("word")
-    sums = {k: F.sum(v).over(own) for k, v in (("c", "n"), ("kept", "kept"), ("types", "types"))}
-    sums["first"] = F.min("chunk").over(own) == F.col("chunk")
-    return written(words.select("chunk", "local", *[v.alias(k) for k, v in sums.items()]))
-
-
-def _scores(chunks: DataFrame, facts: DataFrame, total: int, distinct: int, least: float, discount: float) -> DataFrame:
-    """facts: of words (local number, c count, kept and types of followers) and of pairs (part, totals)."""
+        first, c = (own.split(x) for x in _received(right, 1))
+        values = np.zeros((2, len(own.keys)), np.int64)
+        for shorter, k in enumerate((1, 2)):
+            arc = (first[k] > 0) & (c[k] >= support)
+            context = own.grams[k].context[arc]
+            size = len(own.grams[shorter].keys)
+            # sums of whole numbers below 2**53 are exact
+            values[0, own.bounds[shorter] : own.bounds[shorter + 1]] = np.bincount(context, c[k][arc], size).astype(np.int64)
+            values[1, own.bounds[shorter] : own.bounds[shorter + 1]] = np.bincount(context, minlength=size)
+        live = own.states(c, support)
+        return pa.Table.from_batches(_sent(own.number, own.keys[live], values[:, own.order][:, live], parts), SENT)
+
+    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, SENT_TYPE)
+
+
+def _scores(chunks: DataFrame, sums: DataFrame, total: int, distinct: int, support: int, discount: float) -> DataFrame:
+    """sums: kind 1, of the counts of n-grams; kind 2, of what follows contexts."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
@@ -238,50 +267,46 @@ def _scores(chunks: DataFrame, facts: DataFrame, total: int, distinct: int, leas
             return schema.empty_table()
         row = left.to_pylist()[0]
         own = _Chunk(row)
-        lengths, tokens, before = own.lengths, own.tokens, own.before
-        is_word = pa.compute.is_valid(right["local"])
-        facts, size = right.filter(is_word), len(own.words)
-        count, mass = np.zeros(size, np.int64), np.zeros(size)
-        local = facts["local"].to_numpy()
-        count[local] = facts["c"].to_numpy()
-        mass[local] = facts["kept"].to_numpy() - discount * facts["types"].to_numpy()
-        state = count >= least
-        back = np.ones(size)
-        back[state] = 1 - mass[state] / count[state]
-        single = (count + ADDED) / (total + ADDED * (distinct + 1))
-        p = single[tokens] * back[before]
-        given, (a, b) = _joined(right.filter(pa.compute.invert(is_word))), own.ends()
-        hit = (given > 0) & state[a] & state[b]
-        weights = np.zeros(len(given))
-        weights[hit] = (given[hit] // 2 - discount) / count[a[hit]]
-        p[own.order] += np.repeat(weights, np.diff(np.r_[own.starts, len(tokens)]))
+        of = pa.compute.field("kind")
+        c = own.split(_received(right.filter(of == 1), 1)[1])
+        live = own.states(c, support)
+        followers = np.zeros((2, len(own.keys)), np.int64)
+        followers[:, live] = _received(right.filter(of == 2), 2)[1:]
+        kept, types = own.split(followers[0]), own.split(followers[1])
+        single = ((c[0] + ADDED) / (total + ADDED * (distinct + 1)))[own.grams[0].which]
+        p = single.copy()
+        for k in (1, 2):
+            grams, count = own.grams[k], c[k - 1]
+            state = count >= support
+            back = np.ones(len(count))
+            back[state] = 1 - (kept[k - 1][state] - discount * types[k - 1][state]) / count[state]
+            arc = c[k] >= support
+            weight = np.zeros(len(grams.keys))
+            weight[arc] = (c[k][arc] - discount) / count[grams.context[arc]]
+            p[grams.at] = weight[grams.which] + back[grams.context][grams.which] * p[grams.at]
+        lengths = own.lengths
         starts = np.cumsum(lengths) - lengths
-        base = np.add.reduceat(np.log10(single)[tokens], starts)
-        known = np.add.reduceat((count > 0)[tokens].astype(np.int64), starts)
+        base = np.add.reduceat(np.log10(single), starts)
+        known = np.add.reduceat((c[0] > 0)[own.grams[0].which].astype(np.int64), starts)
         whole = np.add.reduceat(np.log10(p), starts)
         ids = pa.array(_unpack(row["ids"], "<i8"), mask=_unpack(row["missing"], "?"))
         return pa.table([ids, pa.array(own.held), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(whole)], schema=schema)
 
     spark_schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInArrow(score, spark_schema)
+    return chunks.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(score, spark_schema)
 
 
-def score(docs: DataFrame, *, share: float = SHARE, support: int = SUPPORT, discount: float = DISCOUNT, folds: int = 10, chunk: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, *, support: int = SUPPORT, discount: float = DISCOUNT, folds: int = 10, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text); texts with
     crc32(doc_id) % folds = 0 are held out, the rest trains."""
     spark = docs.sparkSession
     bounded_batches(spark)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (fold == 0).alias("held_out"))
-    whole = bucketed(_chunks(docs, chunk), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = bucketed(_chunks(docs, chunk), "chunk", bucket_count(docs))
     parts = max(PARTS, (whole.agg(F.sum("size")).head()[0] or 0) // PART)
-    totals = written(_totals(_pairs(whole, parts), support))
-
-    asked = _asked(_words(whole, totals, None))
-    seen = asked.where("first").agg(F.sum("c").alias("total"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).head()
-    total, distinct = seen["total"] or 0, seen["distinct"]
-    least = max(support, share * total)
-    if least > support:
-        asked = _asked(_words(whole, totals, asked.where(F.col("c") >= least).select("chunk", "local")))
-    facts = asked.select("chunk", "local", "c", "kept", "types").unionByName(totals, allowMissingColumns=True)
-    return _scores(whole, facts, total, distinct, least, discount)
+    counts = written(_summed(_counted(whole, parts)))
+    seen = counts.agg(F.sum("total"), F.sum("distinct")).head()
+    follow = written(_summed(_followed(whole, counts, support, parts)))
+    sums = counts.withColumn("kind", F.lit(1)).unionByName(follow.withColumn("kind", F.lit(2)))
+    return _scores(whole, sums.select("chunk", "part", "kind", "sums"), seen[0] or 0, seen[1] or 0, support, discount)

@@ -66,29 +66,35 @@ def test_grade_edge_cases(spark):
     assert quality.grade(docs.limit(0), None).count() == 0
 
 
-def plain_scores(rows, share=scoring.SHARE, support=scoring.SUPPORT, discount=scoring.DISCOUNT):
+def plain_scores(rows, support=scoring.SUPPORT, discount=scoring.DISCOUNT):
     texts = [(k, zlib.crc32(("" if k is None else str(k)).encode()) % 10 == 0, [*(t or "").encode().lower().split(), b""]) for k, t in rows]
-    train = [w for _, held, w in texts if not held]
-    c, pairs = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([b"", *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
-    least = max(support, share * n)
-    kept = {p: k for p, k in pairs.items() if k >= support and min(c[p[0]], c[p[1]]) >= least}
-    mass = Counter()
-    for (a, _), k in kept.items():
-        mass[a] += k - discount
-
-    def single(w):
-        return (c[w] + 0.1) / (n + 0.1 * (v + 1))
 
-    def p(a, b):
-        if c[a] < least:
-            return single(b)
-        return single(b) * (1 - mass[a] / c[a]) + ((kept[a, b] - discount) / c[a] if (a, b) in kept else 0)
+    def grams(w):
+        """Of each token its n-grams of all lengths; the first one follows the end token alone."""
+        w = [b"", *w]
+        return [[tuple(w[k - n : k + 1]) for n in range(min(k, 2) + 1)] for k in range(1, len(w))]
 
-    total = {a: sum(p(a, b) for b in c) + p(a, "never seen") for a in list(c)[:5]}
-    assert all(x == pytest.approx(1) for x in total.values())
+    c = Counter(g for _, held, w in texts if not held for own in grams(w) for g in own)
+    n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    mass = Counter()
+    for g, k in c.items():
+        if len(g) > 1 and k >= support:
+            mass[g[:-1]] += k - discount
+
+    def p(context, w):
+        if not context:
+            return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        below = p(context[1:], w)
+        if c[context] < support:
+            return below
+        return below * (1 - mass[context] / c[context]) + ((c[*context, w] - discount) / c[context] if c[*context, w] >= support else 0)
+
+    words = [g[0] for g in c if len(g) == 1]
+    frequent = [g for g, k in c.most_common(400) if len(g) < 3 and (len(g) == 1 or g[1])]
+    for context in frequent[:3] + [g for g in frequent if len(g) == 2][:3]:
+        assert sum(p(context, w) for w in words) + p(context, "never seen") == pytest.approx(1)
     for key, held, w in texts:
-        yield key, held, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(single(x)) for x in w), sum(math.log10(p(a, b)) for a, b in zip([b"", *w[:-1]], w, strict=True))
+        yield key, held, len(w), sum(c[(x,)] > 0 for x in w), n, sum(math.log10(p((), x)) for x in w), sum(math.log10(p(own[-1][:-1], x)) for own, x in zip(grams(w), w, strict=True))
 
 
 @pytest.mark.parametrize("chunk", [1, 2000, scoring.CHUNK])
@@ -96,19 +102,17 @@ def test_scores_equal_a_plain_computation(spark, small, chunk):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
     rows += [(500, None), (501, ""), (502, "the " * 3000), (502, "the the"), (None, "no id at all"), (503, "É é\x1c")]
     docs = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id bigint, text string, n_tokens int, chunk int")
-    got = sorted(scoring.score(docs, share=1e-3, chunk=chunk).collect(), key=str)
-    want = sorted(plain_scores(rows, share=1e-3), key=lambda r: (str(r[0]), r[2]))
-    got = sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens))
-    for g, w in zip(got, want, strict=True):
+    got = sorted(scoring.score(docs, chunk=chunk).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
+    for g, w in zip(got, sorted(plain_scores(rows), key=lambda r: (str(r[0]), r[2])), strict=True):
         assert tuple(g)[:5] == w[:5]
         assert g.base_score == pytest.approx(w[5]) and g.score == pytest.approx(w[6])
 
 
-def test_scores_equal_those_of_an_unpruned_model(spark, small):
-    """Over 100,000 tokens, so that a share of them as limit would leave out pairs that occur twice or more."""
+def test_scores_of_a_larger_corpus(spark, small):
+    """Over 100,000 tokens in several chunks; every pair and triple that occurs twice has its arc."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(k, "the " * 3000) for k in range(5000, 5020)]
     rows += [(k, f"common{k % 2} rare{k // 2} end") for k in range(6000, 6040)]
-    want = sorted(plain_scores(rows, share=0), key=lambda r: (str(r[0]), r[2]))
+    want = sorted(plain_scores(rows), key=lambda r: (str(r[0]), r[2]))
     assert want[0][4] > 100_000
     got = scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=50_000).collect()
     for g, w in zip(sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens)), want, strict=True):
@@ -122,6 +126,16 @@ def test_held_out_texts_are_likelier_than_by_words_alone(spark):
     assert row.s > row.b
 
 
+def test_texts_that_occur_twice_stand_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
+    texts = docs.dropDuplicates(["text"])
+    more = texts.where("doc_id % 10 = 3").withColumn("doc_id", F.col("doc_id") + 100_000)
+    rows = scoring.score(texts.unionByName(more)).where("NOT held_out").withColumn("mean", F.col("score") / F.col("n_tokens"))
+    twice = rows.withColumn("twice", F.col("doc_id") % 10 == 3).groupBy("twice").agg(F.percentile("mean", 0.5).alias("m")).collect()
+    found = {r.twice: r.m for r in twice}
+    assert found[True] > found[False] + 0.5
+
+
 def test_no_training_texts_and_empty(spark):
     key = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
     docs = spark.createDataFrame([(key, "a b")], "doc_id bigint, text string")
