@@ -8,10 +8,11 @@ weights sum to one. A text is read once from left to right, starting in the stat
 added up. The limit is a count, not a share of the corpus, so states and arcs grow with it.
 
 Texts are read and cut into words once, into chunks of bounded size: a chunk keeps its texts as word numbers of its own.
-A chunk's distinct words, pairs and triples, as sorted 62-bit hashes with their counts in training texts, are cut by hash
-into parts; a part sums those of all chunks and sends each chunk the totals of its own, in their order. In a second exchange of the
-same kind chunks sum what the followers of each context keep, each follower being counted by the first chunk that has it. So
-what is common is summed by parts in packed arrays and never stands in rows of one key. Two sums reach the driver, nothing all executors.
+A chunk's distinct words and pairs, as sorted 62-bit hashes with their counts in training texts, are cut by hash
+into parts; a part sums those of all chunks and sends each chunk the totals of its own, in their order. A second exchange of the same kind
+counts the triples both of whose pairs occur often enough (no other triple can), and sums what the followers of each word keep, a
+follower being counted by the first chunk that has it; a third does so for the followers of pairs. What is common is
+thus summed by parts in packed arrays and never stands in rows of one key. Two sums reach the driver, nothing all executors.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is drawn like the empty string; rows with equal
 doc_ids stay rows of their own; without training texts every count is 0; an empty table gives no rows; further columns
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, bucket_count, bucketed, column, mix64, raw_texts, slices, words_of, written
 
 #: Bytes of text in a chunk; a longer text stands alone.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: Times that a follower must occur to have an arc; discount.
 SUPPORT, DISCOUNT = 2, 0.75
 #: Parts of the hashes: so many at least, and of about so many tokens.
@@ -118,55 +119,81 @@ class _Grams:
 
     def __init__(self, hashes: np.ndarray, kind: int, at: np.ndarray, train: np.ndarray, before: np.ndarray | None):
         keys = (mix64(hashes) & ~np.uint64(3)) | np.uint64(kind)
-        order = np.argsort(keys)
+        order = np.argsort(keys).astype(np.int32)
         keys = keys[order]
         new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
         self.keys, self.at = keys[new], at
-        self.which = np.empty(len(keys), np.int64)
-        self.which[order] = np.cumsum(new) - 1
+        self.which = np.empty(len(keys), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.n = np.bincount(self.which[train[at]], minlength=len(self.keys))
-        self.context = np.empty(len(self.keys), np.int64)
+        self.context = np.empty(len(self.keys), np.int32)
         if before is not None:
             self.context[self.which] = before
 
 
+class _Order:
+    """Sorted keys of several kinds, and the way back."""
+
+    def __init__(self, kinds: list[np.ndarray]):
+        self.bounds = np.cumsum([0, *map(len, kinds)])
+        joined = np.concatenate(kinds)
+        self.order = np.argsort(joined)
+        self.keys = joined[self.order]
+
+    def put(self, values: list[np.ndarray]) -> np.ndarray:
+        """Values (fields x keys) of each kind, in the order of the keys."""
+        return np.concatenate(values, axis=1)[:, self.order]
+
+    def back(self, values: np.ndarray) -> list[np.ndarray]:
+        out = np.empty_like(values)
+        out[:, self.order] = values
+        return [out[:, a:b] for a, b in zip(self.bounds, self.bounds[1:], strict=False)]
+
+
 class _Chunk:
-    """A chunk's row unpacked, with its distinct words, pairs and triples."""
+    """A chunk's row unpacked, with its distinct words and pairs; `learn` adds what the exchanges have told about them."""
 
     def __init__(self, row: dict):
         self.number, self.held, self.lengths = row["chunk"], _unpack(row["held"], "?"), _unpack(row["lengths"], "<i4")
         tokens, end = _unpack(row["tokens"], "<i4"), row["end"]
-        train = np.repeat(~self.held, self.lengths)
+        self.train = np.repeat(~self.held, self.lengths)
         spelt = _unpack(row["words"], "u1").tobytes().split(b"\n")
         keys = np.fromiter(map(xxhash.xxh64_intdigest, spelt), np.uint64, len(spelt))
-        everywhere = np.arange(len(tokens))
-        words = _Grams(keys[tokens], WORD, everywhere, train, None)
+        everywhere = np.arange(len(tokens), dtype=np.int32)
+        self.words = _Grams(keys[tokens], WORD, everywhere, self.train, None)
         # the word before each token; texts start after an end
         previous = _before(tokens, self.lengths, end)
-        number = np.zeros(len(keys), np.int64)
-        number[tokens] = words.which  # every text holds the end token
-        pair = keys[previous] * SPREAD + keys[tokens]
-        pairs = _Grams(pair, PAIR, everywhere, train, number[previous])
-        inside = np.ones(len(tokens), bool)
-        inside[np.cumsum(self.lengths) - self.lengths] = False
-        at = np.flatnonzero(inside)
-        triples = _Grams(mix64(pair[at - 1]) * SPREAD + keys[tokens[at]], TRIPLE, at, train, pairs.which[at - 1])
-        self.grams = [words, pairs, triples]
-        self.bounds = np.cumsum([0, *(len(x.keys) for x in self.grams)])
-        joined = np.concatenate([x.keys for x in self.grams])
-        self.order = np.argsort(joined)
-        self.keys = joined[self.order]
-
-    def split(self, values: np.ndarray) -> list[np.ndarray]:
-        """Values by key, for each length of n-grams."""
-        out = np.empty_like(values)
-        out[self.order] = values
-        return [out[a:b] for a, b in zip(self.bounds, self.bounds[1:], strict=False)]
-
-    def states(self, counts: list[np.ndarray], support: int) -> np.ndarray:
-        """Which keys are those of contexts."""
-        live = np.concatenate([counts[0] >= support, counts[1] >= support, np.zeros(len(counts[2]), bool)])
-        return live[self.order]
+        number = np.zeros(len(keys), np.int32)
+        number[tokens] = self.words.which  # every text holds the end token
+        self.last = keys[tokens]
+        self.hashes = keys[previous] * SPREAD + self.last
+        self.pairs = _Grams(self.hashes, PAIR, everywhere, self.train, number[previous])
+        self.first = _Order([self.words.keys, self.pairs.keys])
+
+    def learn(self, sums: list[pa.Table], support: int) -> None:
+        """sums: the answers to as many exchanges as are done. Triples are those whose pairs both occur often enough."""
+        (_, self.c1), (new, self.c2) = self.first.back(_received(sums[0], 1))
+        self.new = new > 0
+        often = (self.c2 >= support)[self.pairs.which]
+        often[1:] &= often[:-1]
+        often[np.cumsum(self.lengths) - self.lengths] = False
+        at = np.flatnonzero(often).astype(np.int32)
+        self.triples = _Grams(mix64(self.hashes[at - 1]) * SPREAD + self.last[at], TRIPLE, at, self.train, self.pairs.which[at - 1])
+        self.known, self.met = self.c1 >= support, self.c2 >= support
+        self.second = _Order([self.words.keys[self.known], self.triples.keys])
+        if len(sums) > 1:
+            followers, (new, self.c3, _) = self.second.back(_received(sums[1], 2))
+            self.newer, self.after1 = new > 0, followers[1:]
+            self.third = _Order([self.pairs.keys[self.met]])
+        if len(sums) > 2:
+            self.after2 = self.third.back(_received(sums[2], 2))[0][1:]
+
+
+def _kept(grams: _Grams, arc: np.ndarray, c: np.ndarray, contexts: int) -> np.ndarray:
+    """Of each context the counts and the number of those followers."""
+    context = grams.context[arc]
+    # sums of whole numbers below 2**53 are exact
+    return np.stack([np.bincount(context, c[arc], contexts).astype(np.int64), np.bincount(context, minlength=contexts)])
 
 
 SENT = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
@@ -222,42 +249,44 @@ def _received(table: pa.Table, fields: int) -> np.ndarray:
 
 
 def _counted(chunks: DataFrame, parts: int) -> DataFrame:
-    """Each chunk's n-grams with their counts in its training texts."""
+    """Each chunk's words and pairs with their counts in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 own = _Chunk(batch.slice(k, 1).to_pylist()[0])
-                n = np.concatenate([x.n for x in own.grams])[own.order]
-                yield from _sent(own.number, own.keys, n[None, :], parts)
+                yield from _sent(own.number, own.first.keys, own.first.put([own.words.n[None, :], own.pairs.n[None, :]]), parts)
 
     return chunks.select("chunk", "end", "held", "lengths", "tokens", "words").mapInArrow(run, SENT_TYPE)
 
 
-def _followed(chunks: DataFrame, counts: DataFrame, support: int, parts: int) -> DataFrame:
-    """Each chunk's contexts with the counts and number of their followers that have an arc and that no earlier chunk has."""
+def _answers(right: pa.Table, kinds: int) -> list[pa.Table]:
+    return [right.filter(pa.compute.field("kind") == k) for k in range(1, kinds + 1)]
+
+
+def _followed(chunks: DataFrame, answers: DataFrame, support: int, parts: int, done: int) -> DataFrame:
+    """After one exchange, each chunk's triples with their counts, and its words with what their followers keep that have an arc and
+    that no earlier chunk has; after two, its pairs with that of theirs."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return SENT.empty_table()
         own = _Chunk(left.to_pylist()[0])
-        first, c = (own.split(x) for x in _received(right, 1))
-        values = np.zeros((2, len(own.keys)), np.int64)
-        for shorter, k in enumerate((1, 2)):
-            arc = (first[k] > 0) & (c[k] >= support)
-            context = own.grams[k].context[arc]
-            size = len(own.grams[shorter].keys)
-            # sums of whole numbers below 2**53 are exact
-            values[0, own.bounds[shorter] : own.bounds[shorter + 1]] = np.bincount(context, c[k][arc], size).astype(np.int64)
-            values[1, own.bounds[shorter] : own.bounds[shorter + 1]] = np.bincount(context, minlength=size)
-        live = own.states(c, support)
-        return pa.Table.from_batches(_sent(own.number, own.keys[live], values[:, own.order][:, live], parts), SENT)
+        own.learn(_answers(right, done), support)
+        if done == 1:
+            counts = np.stack([own.triples.n, np.zeros_like(own.triples.n)])
+            order = own.second
+            values = order.put([_kept(own.pairs, own.new & own.met, own.c2, len(own.known))[:, own.known], counts])
+        else:
+            order = own.third
+            values = order.put([_kept(own.triples, own.newer & (own.c3 >= support), own.c3, len(own.met))[:, own.met]])
+        return pa.Table.from_batches(_sent(own.number, order.keys, values, parts), SENT)
 
-    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, SENT_TYPE)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SENT_TYPE)
 
 
 def _scores(chunks: DataFrame, sums: DataFrame, total: int, distinct: int, support: int, discount: float) -> DataFrame:
-    """sums: kind 1, of the counts of n-grams; kind 2, of what follows contexts."""
+    """sums: the answers to the three exchanges, by kind."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
@@ -267,27 +296,28 @@ def _scores(chunks: DataFrame, sums: DataFrame, total: int, distinct: int, suppo
             return schema.empty_table()
         row = left.to_pylist()[0]
         own = _Chunk(row)
-        of = pa.compute.field("kind")
-        c = own.split(_received(right.filter(of == 1), 1)[1])
-        live = own.states(c, support)
-        followers = np.zeros((2, len(own.keys)), np.int64)
-        followers[:, live] = _received(right.filter(of == 2), 2)[1:]
-        kept, types = own.split(followers[0]), own.split(followers[1])
-        single = ((c[0] + ADDED) / (total + ADDED * (distinct + 1)))[own.grams[0].which]
+        own.learn(_answers(right, 3), support)
+        single = ((own.c1 + ADDED) / (total + ADDED * (distinct + 1)))[own.words.which]
         p = single.copy()
-        for k in (1, 2):
-            grams, count = own.grams[k], c[k - 1]
-            state = count >= support
-            back = np.ones(len(count))
-            back[state] = 1 - (kept[k - 1][state] - discount * types[k - 1][state]) / count[state]
-            arc = c[k] >= support
-            weight = np.zeros(len(grams.keys))
-            weight[arc] = (c[k][arc] - discount) / count[grams.context[arc]]
-            p[grams.at] = weight[grams.which] + back[grams.context][grams.which] * p[grams.at]
+        # from each word's state, then from each pair's: its failure arc or, where there is one, the arc on the token
+        before = own.pairs.context[own.pairs.which]
+        further = np.zeros(len(p), bool)
+        further[1:] = own.met[own.pairs.which[:-1]]
+        further[np.cumsum(own.lengths) - own.lengths] = False
+        back = np.ones(len(own.c1))
+        back[own.known] = 1 - (own.after1[0] - discount * own.after1[1]) / own.c1[own.known]
+        p *= back[before]
+        p += np.where(own.met, (own.c2 - discount) / np.maximum(own.c1[own.pairs.context], 1), 0)[own.pairs.which]
+        back = np.ones(len(own.c2))
+        back[own.met] = 1 - (own.after2[0] - discount * own.after2[1]) / own.c2[own.met]
+        at = np.flatnonzero(further)
+        p[at] *= back[own.pairs.which[at - 1]]
+        arc = own.c3 >= support
+        p[own.triples.at] += np.where(arc, (own.c3 - discount) / np.maximum(own.c2[own.triples.context], 1), 0)[own.triples.which]
         lengths = own.lengths
         starts = np.cumsum(lengths) - lengths
         base = np.add.reduceat(np.log10(single), starts)
-        known = np.add.reduceat((c[0] > 0)[own.grams[0].which].astype(np.int64), starts)
+        known = np.add.reduceat((own.c1 > 0)[own.words.which].astype(np.int64), starts)
         whole = np.add.reduceat(np.log10(p), starts)
         ids = pa.array(_unpack(row["ids"], "<i8"), mask=_unpack(row["missing"], "?"))
         return pa.table([ids, pa.array(own.held), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(whole)], schema=schema)
@@ -307,6 +337,8 @@ def score(docs: DataFrame, *, support: int = SUPPORT, discount: float = DISCOUNT
     parts = max(PARTS, (whole.agg(F.sum("size")).head()[0] or 0) // PART)
     counts = written(_summed(_counted(whole, parts)))
     seen = counts.agg(F.sum("total"), F.sum("distinct")).head()
-    follow = written(_summed(_followed(whole, counts, support, parts)))
-    sums = counts.withColumn("kind", F.lit(1)).unionByName(follow.withColumn("kind", F.lit(2)))
-    return _scores(whole, sums.select("chunk", "part", "kind", "sums"), seen[0] or 0, seen[1] or 0, support, discount)
+    answers = counts.select("chunk", "part", F.lit(1).alias("kind"), "sums")
+    for done in (1, 2):
+        more = written(_summed(_followed(whole, answers, support, parts, done)))
+        answers = answers.unionAll(more.select("chunk", "part", F.lit(done + 1).alias("kind"), "sums"))
+    return _scores(whole, answers, seen[0] or 0, seen[1] or 0, support, discount)
