@@ -7,8 +7,9 @@ counts as frequent comes from a counting sketch of fixed size over all shingles;
 the orders and cannot lose a pair.
 
 1. Prefix shingles under the first order go to one row each; those in one class alone are left out.
-2. In every group of classes that share a prefix shingle the first is the pivot, and the others are compared with it if they
-   have met often enough to be similar. Links found so form components.
+2. In every group of classes that share a prefix shingle the first is the pivot, and the others are candidates with it if they
+   have met often enough to be similar. A candidate must meet its pivot often enough under each of the further orders
+   too, whatever order found it; only what passes all of them is verified on the whole sets. Links found so form components.
 3. Shingles whose classes still lie in different components are taken again. The classes that share shingles with a pivot
    are its cluster; in clusters, block by block, pairs across components that have met often enough are candidates,
    those that have not under a further order leave, and the rest is verified. A group of copies costs a comparison each,
@@ -26,6 +27,7 @@ component_id is the smallest doc_id that is not null; an empty table gives no ro
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -160,8 +162,9 @@ def _frequent(found: DataFrame) -> bytes:
     def bits(left: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"rid": [left["rid"].iloc[0]], "blob": [np.packbits(add(left) >= limit, bitorder="little").tobytes()]})
 
-    # two rounds, so that no task opens the slices of all tasks
-    sketches = found.where("kind = 1").select("rid", "blob", F.pmod(F.xxhash64("blob"), F.lit(8)).alias("salt"))
+    # two rounds of about as many sketches, so that no task opens the slices of all tasks
+    salts = max(8, math.isqrt(found.where("kind = 1 AND rid = 0").count()))
+    sketches = found.where("kind = 1").select("rid", "blob", F.pmod(F.xxhash64("blob"), F.lit(salts)).alias("salt"))
     whole = sketches.groupBy("rid", "salt").applyInPandas(part, "rid bigint, blob binary").groupBy("rid").applyInPandas(bits, "rid bigint, blob binary")
     slices_of = dict(whole.collect())
     return b"".join(bytes(slices_of.get(k, bytes(width // 8))) for k in range(SLICES))
@@ -210,9 +213,19 @@ def _possible(percent: int) -> Column:
     return sizes & (F.col("met") + F.when(F.col("la") <= F.col("lb"), rest(a)).otherwise(rest(b)) >= need)
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose sets are similar. Each text goes to its pairs once, and the pivot's text
-    once to every salt of at most about SALT pairs."""
+def meets(a: np.ndarray, b: np.ndarray, heads: list[tuple], others: list[tuple], percent: int = PERCENT) -> bool:
+    """Whether sets a and b share enough prefix tokens under every order to be similar; heads: prefixes and their ends, by order."""
+    need = -(-percent * (len(a) + len(b)) // (100 + percent))
+    for (x, end), (y, stop) in zip(heads, others, strict=True):
+        met = len(np.intersect1d(x, y, assume_unique=True))
+        if not met or met + -(-percent * len(a if end <= stop else b) // 100) - 1 < need:
+            return False
+    return True
+
+
+def _verify(pairs: DataFrame, rows: DataFrame, hot, percent: int, orders: int) -> DataFrame:
+    """Of pairs (a, b), candidates under the first order, those that are candidates under all others and whose sets are similar. Each
+    text goes to its pairs once, and the pivot's text once to every salt of at most about SALT pairs."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     wanted = pairs.join(many, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("rid"))
     pivots = many.select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("rid"))
@@ -220,14 +233,16 @@ def _verify(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     sent = sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: np.ndarray | None = None
+        bits = np.frombuffer(hot.value, np.uint8)
+        first, heads = np.empty(0, np.uint64), []
         for batch in slices(batches, "text", 2 << 20):
             a, b = [], []
             sets = shingle_sets(raw_texts(batch))
             for pivot, role, rid, own in zip(*[column(batch, c).to_pylist() for c in ("pivot", "role", "rid")], sets, strict=True):
+                mine = [prefix(own, k, bits, percent) for k in range(1, orders)]
                 if role == 0:
-                    first = own
-                elif similar(first, own, percent):
+                    first, heads = own, mine
+                elif meets(first, own, heads, mine, percent) and similar(first, own, percent):
                     a.append(pivot)
                     b.append(rid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -389,7 +404,7 @@ def classify(docs: DataFrame, columns: list[str], *, percent: int = PERCENT, ord
     Texts link if 100 * |A & B| >= percent * |A | B|.
     """
     rows, sets, classes, shared, hot = _prepared(docs, columns, percent)
-    links = _verify(_stars(shared, percent), rows, percent)
+    links = _verify(_stars(shared, percent), rows, hot, percent, orders)
     blocks = _remaining(_unsettled(shared, components(links)), percent)
     joined = components(links.unionAll(_settle(blocks, rows, hot, percent, orders)))
 

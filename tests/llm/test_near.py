@@ -151,3 +151,19 @@ def test_calibration():
     assert near_vectors.least_count(24, 1.25, 0.995) >= 10
     keys, tables = near_vectors.plan(10**9, 0.98, 0.995)
     assert 1 - (1 - near_vectors.same_cell(near_vectors.CELL) ** keys) ** tables >= 0.995
+
+
+def test_filters_of_all_orders_lose_no_similar_pair():
+    rng = np.random.default_rng(8)
+    dropped = 0
+    for _ in range(2000):
+        base = rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)
+        other = np.unique(np.r_[base[rng.random(len(base)) < rng.choice([0.3, 0.8, 0.95])], rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64)])
+        base = np.unique(base)
+        if not len(other):
+            continue
+        heads, others = ([near_join.prefix(x, k, None) for k in range(3)] for x in (base, other))
+        passes = near_join.meets(base, other, heads, others)
+        assert passes or not near_join.similar(base, other)
+        dropped += not passes
+    assert dropped > 500
