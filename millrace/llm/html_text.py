@@ -1,7 +1,8 @@
 """The main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks: runs of text between the tags of block elements. Each block has a cost for either
-label, from its containers, names, links, length and punctuation. Blocks next to each other, and
+A page is cut into blocks: runs of text between the tags of block elements. A logistic model over a block's containers, names,
+links, length and punctuation gives its cost for either label: the log-odds. It is learned on a fixed number of labelled pages
+(`PAGES`, see `html_layouts`), as is how much smoothness weighs. Blocks next to each other, and
 blocks with the same parent, pay for different labels, the more the closer they stand in the tree. The
 cheapest labelling is a minimum cut: costs are the capacities of edges to the two terminals, smoothness that of
 edges between blocks, and a maximum flow separates content from boilerplate. Blocks whose own cost outweighs all
@@ -17,15 +18,19 @@ columns are left behind.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import html_layouts
 from .common import bounded_batches, column, slices, texts
 
 _raw = "script|style|noscript|textarea|title|iframe"
@@ -51,7 +56,10 @@ BAD = frozenset("ad ads adv advert adverts advertisement advertising banner prom
 #: A header is boilerplate at the top of a page; inside an article it holds the article's own heading.
 HEADERS = frozenset("header head masthead topbar".split())
 GOOD = frozenset("article content post entry story main text body prose page maincontent".split())
-NEAR, SAME = 12, 8
+#: Capacity of one unit of log-odds; what neighbours and children of a parent pay at most, before the learned weight.
+UNIT, NEAR, SAME = 64, 1.0, 0.5
+#: Labelled pages that costs are learned on, as many for the weight of smoothness, and the weights tried; strength of the prior.
+PAGES, WEIGHTS, PRIOR = 400, (0.5, 1.0, 2.0, 4.0, 6.0), 0.3
 
 
 @lru_cache(8192)
@@ -77,17 +85,18 @@ class _Block:
         self.tag = path[-1][1] if path else ""
 
 
-def _prior(path: tuple, wrappers: set[int]) -> int:
-    """What a block's containers say: the innermost one that says something, and boilerplate around it."""
-    total, first = 0, True
+def _hints(path: tuple, wrappers: set[int]) -> tuple[int, bool]:
+    """What the innermost container that says something of a block says, and whether boilerplate is around that one."""
+    found = 0
     for k in range(len(path) - 1, -1, -1):
         number, _, hint = path[k]
         if hint == HEADER and any(tag == "article" for _, tag, _ in path[:k]):
             continue
         if hint and not (hint < 0 and number in wrappers):
-            total += hint if first else -200 if hint <= -120 else hint // 2 if hint < 0 else hint // 4
-            first = False
-    return total
+            if found and hint <= -120:
+                return found, True
+            found = found or hint
+    return found, False
 
 
 def _wrappers(found: list[_Block]) -> set[int]:
@@ -197,24 +206,57 @@ def blocks(html: str) -> list[_Block]:
     return out
 
 
-def costs(found: list[_Block]) -> list[int]:
-    """For each block how much dearer the label boilerplate is than content."""
-    out, wrappers = [], _wrappers(found)
-    for b in found:
-        n = len(b.text)
-        words = b.text.count(" ") + 1
-        score = _prior(b.path, wrappers) + min(words, 30) - 10
-        if b.linked:
-            score -= 60 * b.linked // n
-        if b.text[-1] in ".!?…:;\"')”»":
-            score += 6
-        if b.tag in ("p", "blockquote", "pre") or b.tag[:1] == "h" and b.tag[1:].isdigit():
-            score += 12
-        out.append(score)
+FEATURES = 16
+
+
+def features(found: list[_Block]) -> np.ndarray:
+    """What the model reads of each block."""
+    out, wrappers = np.zeros((len(found), FEATURES)), _wrappers(found)
+    for row, b in zip(out, found, strict=True):
+        hint, inside = _hints(b.path, wrappers)
+        words, linked = b.text.count(" ") + 1, b.linked / len(b.text)
+        heading = b.tag[:1] == "h" and b.tag[1:].isdigit()
+        end = b.text[-1] in ".!?…:;\"')”»"
+        row[:] = (
+            1, hint >= 80, 50 <= hint < 80, 0 < hint < 50, hint == HEADER, -160 < hint <= -120, -400 < hint <= -160, hint <= -400, inside, not hint and end and words > 8,
+            math.log2(min(words, 64)) / 3, linked, linked > 0.8 and hint <= 0, end, b.tag in ("p", "blockquote", "pre"), heading,
+        )
     return out
 
 
-def edges(found: list[_Block]) -> list[tuple[int, int, int]]:
+def fit(x: np.ndarray, y: np.ndarray, *, prior: float = PRIOR, steps: int = 25) -> np.ndarray:
+    """Weights of the penalised logistic model, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (y - p) - prior * w
+        w = w + np.linalg.solve((x.T * (p * (1 - p))) @ x + prior * np.eye(len(w)), slope)
+    return w
+
+
+@dataclass(frozen=True)
+class Model:
+    weights: tuple[float, ...]
+    smooth: float
+
+    def costs(self, found: list[_Block]) -> list[int]:
+        """For each block how much dearer the label boilerplate is than content."""
+        return np.rint(UNIT * (features(found) @ np.array(self.weights))).astype(int).tolist()
+
+    def labels(self, found: list[_Block]) -> list[bool]:
+        return cut(self.costs(found), edges(found, self.smooth))
+
+
+@lru_cache(1)
+def model(pages: int = PAGES) -> Model:
+    """Costs learned on labelled pages, the weight of smoothness on as many others."""
+    learn, tune = ([(found := blocks(html), np.array([b.text in content for b in found], float)) for html, content in html_layouts.labelled(pages, seed)] for seed in (1, 2))
+    weights = tuple(fit(np.concatenate([features(found) for found, _ in learn]), np.concatenate([y for _, y in learn])).tolist())
+    wrong = {w: sum(int((np.array(Model(weights, w).labels(found)) != y).sum()) for found, y in tune) for w in WEIGHTS}
+    return Model(weights, min(WEIGHTS, key=lambda w: (wrong[w], w)))
+
+
+def edges(found: list[_Block], smooth: float) -> list[tuple[int, int, int]]:
     """Smoothness between neighbours, by the depth that they share, and between a parent's children."""
     out = []
     last: dict[int, int] = {}
@@ -226,10 +268,10 @@ def edges(found: list[_Block]) -> list[tuple[int, int, int]]:
                 if x[0] != y[0]:
                     break
                 apart -= 2
-            out.append((i - 1, i, NEAR // (1 + apart)))
+            out.append((i - 1, i, round(UNIT * smooth * NEAR / (1 + apart / 2))))
         holder = b.path[-2][0] if len(b.path) > 1 else 0
         if holder in last and last[holder] != i - 1:
-            out.append((last[holder], i, SAME // 2))
+            out.append((last[holder], i, round(UNIT * smooth * SAME)))
         last[holder] = i
     return [e for e in out if e[2]]
 
@@ -291,11 +333,11 @@ def _flow(rest: list[int], cost: list[int], near: list[dict[int, int]]) -> set[i
             room[v][u] = room[v].get(u, 0) + least
 
 
-def main_text(html: str) -> str:
+def main_text(html: str, learned: Model | None = None) -> str:
     found = blocks(html)
     if not found:
         return ""
-    label = cut(costs(found), edges(found))
+    label = (learned or model()).labels(found)
     return " ".join(b.text for b, keep in zip(found, label, strict=True) if keep)
 
 
@@ -304,10 +346,11 @@ def extract(pages: DataFrame) -> DataFrame:
     bounded_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema if f.name != "html")
+    learned = model()  # on the driver, once; a few numbers go to the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            out = list(map(main_text, texts(batch, "html")))
+            out = [main_text(x, learned) for x in texts(batch, "html")]
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, f"{kinds}, text string, n_chars bigint")

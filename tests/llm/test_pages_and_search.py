@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from millrace.llm import html_text, top_k
+from millrace.llm import html_layouts, html_text, top_k
 from millrace.llm.html_text import main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar">
@@ -90,6 +90,35 @@ def test_cut_is_minimal():
         assert total == brute(cost, smooth)
 
 
+def test_text_is_that_of_the_cheapest_labelling():
+    """Whole small pages against every labelling of their blocks."""
+    learned, seen = html_text.model(), 0
+    for html, _ in html_layouts.labelled(600, 9):
+        found = html_text.blocks(html)
+        if len(found) > 13 or seen == 12:
+            continue
+        cost, smooth = learned.costs(found), html_text.edges(found, learned.smooth)
+        keep = learned.labels(found)
+        total = sum(-c if k else 0 for c, k in zip(cost, keep, strict=True)) + sum(w for a, b, w in smooth if keep[a] != keep[b])
+        assert total == brute(cost, smooth)
+        assert main_text(html) == " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
+        seen += 1
+    assert seen == 12
+
+
+def test_cut_mends_what_single_blocks_say():
+    """On pages that nothing was learned on, the cut changes labels and makes fewer mistakes than the costs alone."""
+    learned, single, joint, blocks, changed = html_text.model(), 0, 0, 0, 0
+    for html, content in html_layouts.labelled(200, 3):
+        found = html_text.blocks(html)
+        want, own, cut = [b.text in content for b in found], [c > 0 for c in learned.costs(found)], learned.labels(found)
+        single += sum(a != b for a, b in zip(own, want, strict=True))
+        joint += sum(a != b for a, b in zip(cut, want, strict=True))
+        changed += sum(a != b for a, b in zip(cut, own, strict=True))
+        blocks += len(found)
+    assert changed > blocks / 100 and joint < single and joint < blocks / 40
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 0), (1, "u", PAGE, 0), (None, None, None, 1), (3, "v", "", 2)], "page_id bigint, url string, html string, text int")
     out = html_text.extract(pages).collect()
