@@ -108,6 +108,14 @@ def freed(*frames: DataFrame) -> None:
             _delete(root)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that nothing refers to any more, as those whose result `written` has stored.
+
+    Its cleaner does so when the driver's JVM collects garbage, which otherwise may be long after the disks are full.
+    """
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it has fewer partitions than the cluster has cores, as small files do; else df itself."""
     cores = df.sparkSession.sparkContext.defaultParallelism
