@@ -10,9 +10,9 @@ import pyarrow.compute  # noqa: F401  makes pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import bucket_count, bucketed, components, freed, shared_folder, spread, written
+from ..plans.tables import bucket_count, bucketed, components, freed, shared_folder, spread, swept, written
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "bucket_count", "bucketed", "column", "components", "count_words", "freed", "load", "mix64", "numbered", "raw_texts", "shared_folder", "shielded", "slices", "spread", "texts", "words_of", "written"]
+__all__ = ["BATCH_BYTES", "bounded_batches", "bucket_count", "bucketed", "column", "components", "count_words", "freed", "load", "mix64", "numbered", "raw_texts", "shared_folder", "shielded", "slices", "spread", "swept", "texts", "words_of", "written"]
 
 #: A word is a run without ASCII white space; lower-casing touches A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"

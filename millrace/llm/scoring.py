@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bucket_count, bucketed, column, mix64, raw_texts, slices, words_of, written
+from .common import bounded_batches, bucket_count, bucketed, column, mix64, raw_texts, slices, swept, words_of, written
 
 #: Bytes of text in a chunk; a longer text stands alone.
 CHUNK = 4 << 20
@@ -339,6 +339,8 @@ def score(docs: DataFrame, *, support: int = SUPPORT, discount: float = DISCOUNT
     seen = counts.agg(F.sum("total"), F.sum("distinct")).head()
     answers = counts.select("chunk", "part", F.lit(1).alias("kind"), "sums")
     for done in (1, 2):
+        swept(spark)  # what the last exchange has shuffled is stored
         more = written(_summed(_followed(whole, answers, support, parts, done)))
         answers = answers.unionAll(more.select("chunk", "part", F.lit(done + 1).alias("kind"), "sums"))
+    swept(spark)
     return _scores(whole, answers, seen[0] or 0, seen[1] or 0, support, discount)
