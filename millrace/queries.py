@@ -12,7 +12,8 @@ from .functions.tokens import Ranked
 from .functions.values import RID
 from .operators import augment, fuzzy, ops, reports, shaping
 from .plans.executor import run, sample
-from .plans.tables import spread
+from .plans.tables import shared_folder, spread
+from .sources import parsers, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,6 +397,54 @@ def augment_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _augment(spark, sf_dir, "preferencePair")
 
 
+# -- files: a table written in a format and read again ----------------------------------------------------------------------------
+
+
+def stored(df: DataFrame, kind: str) -> str:
+    where = shared_folder(df.sparkSession)
+    writers.write(df, where, kind)
+    return where
+
+
+def _text_of(*names: str) -> str:
+    return ", ".join(f"{c}::VARCHAR AS {c}" for c in names)
+
+
+@query("io_csv_file", f"SELECT {_text_of('c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment')} FROM customer")
+def io_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single file: separator, header and names are guessed, cells stay text."""
+    found = parsers.read_delimited(writers.to_text(table(spark, sf_dir, "customer", "c_custkey"), "csv"))
+    return readers.from_table(spark, found).drop(RID)
+
+
+@query("io_tsv_scan", f"SELECT {_text_of('s_suppkey', 's_name', 's_nationkey', 's_acctbal')} FROM supplier")
+def io_tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.scan_delimited(spark, stored(table(spark, sf_dir, "supplier", "s_suppkey"), "tsv"), delimiter="\t", header=True).drop(RID)
+
+
+@query("io_csv_scan", "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text FROM documents")
+def io_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, separators and line ends, written and read in parallel."""
+    return readers.scan_delimited(spark, stored(documents(spark, sf_dir).select(RID, "doc_id", "text"), "csv"), delimiter=",", header=True).drop(RID)
+
+
+@query("io_jsonl_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def io_jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.scan_json_lines(spark, stored(table(spark, sf_dir, "orders", "o_orderkey").drop("o_orderdate"), "jsonl")).drop(RID)
+
+
+@query("io_json_file", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def io_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of objects as one text, told by its first sign; whole numbers keep their type."""
+    found = parsers.read_json(writers.to_text(table(spark, sf_dir, "nation", "n_nationkey"), "json"))
+    return readers.from_table(spark, found).drop(RID)
+
+
+@query("io_parquet", "SELECT * FROM part")
+def io_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.numbered(spark.read.parquet(stored(table(spark, sf_dir, "part", "p_partkey"), "parquet"))).drop(RID)
+
+
 # -- shaping -------------------------------------------------------------------------------------------------------------------
 
 _turns = "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS s, arg_min(text, turn) FILTER (WHERE role = 'user') AS u, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id"

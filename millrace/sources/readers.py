@@ -162,7 +162,7 @@ def scan_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     named = parsers.has_header(rows) if header is None and rows else bool(header)
     reader = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=True, header=named, inferSchema=False, mode="PERMISSIVE")
     df = reader.csv(path)
-    names = parsers.header_names(rows[0] if named and rows else [], len(df.columns)) if named else [f"column_{k + 1}" for k in range(len(df.columns))]
+    names = parsers.header_names(rows[0] if rows else df.columns, len(df.columns)) if named else [f"column_{k + 1}" for k in range(len(df.columns))]
     return numbered(df.toDF(*names))
 
 

@@ -5,14 +5,14 @@ import random
 import sqlite3
 
 import pytest
-from millrace.errors import ExpressionError, InvalidRecipe, MissingColumn, ParseFailure, ProviderError
-from millrace.functions import pii, text
+from millrace.errors import ExpressionError, InvalidRecipe, MillraceError, MissingColumn, ParseFailure, ProviderError
+from millrace.functions import chunks, pii, text
 from millrace.functions.chunks import ChunkerConfig
 from millrace.functions.expressions import compile_expression, parse
 from millrace.functions.quality import QualityRules
 from millrace.functions.values import RID
 from millrace.operators import augment, ops, reports, shaping
-from millrace.plans import presets
+from millrace.plans import presets, tables
 from millrace.plans.executor import preview, run, sample
 from millrace.plans.recipe import Recipe
 from millrace.sources import readers, writers
@@ -198,6 +198,28 @@ def test_chunk_rows(spark):
     assert sorted(r[RID] for r in out if r.chunk_index == 0) == [0, 2] and all(r[RID] > 2 for r in out if r.chunk_index)
 
 
+def test_ids_of_chunks_follow_rows(spark):
+    body = " ".join(f"Sentence number {k} says a few words about its topic." for k in range(30))
+    rows = [(k << ops.CELL_BITS - 1, body if k % 2 else "Short.") for k in range(8)]
+    df = spark.createDataFrame(rows, f"{RID} bigint, text string").repartition(4)
+    out = run(df, [ops.ChunkText("text", ChunkerConfig(target_tokens=60, overlap_tokens=0))]).frame.collect()
+    fresh, most = [], max(r for r, _ in rows)
+    for rid, text in rows:
+        own = chunks.chunk_text(text, ChunkerConfig(target_tokens=60, overlap_tokens=0))
+        fresh += [c["text"] for c in own[1:]]
+        assert [r.text for r in out if r[RID] == rid] == [own[0]["text"]]
+    assert sorted((r[RID], r.text) for r in out if r.chunk_index) == [(most + 1 + k, t) for k, t in enumerate(fresh)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    with pytest.raises(MillraceError):
+        tables.shared_folder(type("Session", (), {"conf": Conf()})())
+
+
 def test_augment_resumes_and_counts(spark):
     df = spark.createDataFrame([(0, "Some text to judge.", None), (1, "done", 3), (2, " ", None)], f"{RID} bigint, text string, judge_score bigint")
     result = run(df, [ops.Augment(augment.AugmentConfig("judgeScore", "text"))], context=ops.Context(client=augment.DemoClient()))
