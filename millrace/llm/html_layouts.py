@@ -20,6 +20,8 @@ BOILERPLATE = {
     "comments": ("comments", "comment-list", "replies", "disqus"),
     "footer": ("footer", "copyright", "legal", "social"),
 }
+#: A site's own header stands before the content; an article's header holds its heading.
+SITE_HEADERS = ("page-header", "site-header", "masthead", "header", "x1")
 
 
 class _Page:
@@ -71,20 +73,34 @@ class _Page:
         elif how == "mute":  # only what it says and what stands beside it can tell it: links, short lines, a sentence
             body = f"<p>{self.sentence(2, 9)}</p><p><a href='#'>{self.words(1, 3)}</a> {self.words(1, 2)}</p>{links}<div>{self.words(1, 4)}</div>"
         elif kind == "comments":
-            body = "".join(f"<div><b>{self.words(1, 1)}</b><p>{self.sentence(4, 20)}</p></div>" for _ in range(self.rnd.randint(1, 4)))
+            each = self.rnd.choice(("div", "article", "li")) if how == "name" else "div"  # a reader's comment is often an article of its own
+            body = "".join(f"<{each}><b>{self.words(1, 1)}</b><p>{self.sentence(4, 20)}</p></{each}>" for _ in range(self.rnd.randint(1, 4)))
         else:
             body = "".join(f"<p>{self.sentence(3, 14)}</p>" for _ in range(self.rnd.randint(1, 2))) + (f"<a href='#'>{self.words(1, 2)}</a>" if self.rnd.random() < 0.5 else "")
         return f'<{tag} class="{name}">{body}</{tag}>'
 
+    def site_header(self) -> str:
+        """The site's name and what is often beside it."""
+        tag, name = self.rnd.choice((("header", self.rnd.choice(SITE_HEADERS)), ("div", self.rnd.choice(SITE_HEADERS[:-1]))))
+        title = self.rnd.choice(("h1", "h2", "p", "div", "a"))
+        line = f"<p>{self.words(2, 8)}</p>" if self.rnd.random() < 0.4 else ""
+        return f'<{tag} class="{name}"><{title}>{self.words(1, 4)}</{title}>{line}</{tag}>'
+
     def html(self) -> str:
         body = [self.piece() for _ in range(self.rnd.randint(4, 14))]
         for kind in self.rnd.sample(("advert", "related", "notice"), self.rnd.randint(0, 2)):
             body.insert(self.rnd.randint(1, len(body)), self.clutter(kind, mute=0))
         tag, name = self.rnd.choice((("article", "x1"), ("main", "wrap"), ("div", self.rnd.choice(CONTENT)), ("div", self.rnd.choice(CONTENT)), ("section", self.rnd.choice(MUTE))))
-        story = f'<{tag} class="{name}"><h1>{self.kept(self.words(2, 8))}</h1>{"".join(body)}</{tag}>'
-        before = [self.clutter(k) for k in ("menu", "notice", "advert") if self.rnd.random() < 0.6]
+        heading = f"<h1>{self.kept(self.words(2, 8))}</h1>"
+        if tag == "article" and self.rnd.random() < 0.5:
+            heading = f'<header class="{self.rnd.choice(("entry-header", "x1"))}">{heading}</header>'
+        story = f'<{tag} class="{name}">{heading}{"".join(body)}</{tag}>'
+        # paragraphs that stand beside the element which holds the rest
+        loose = "".join(f"<p>{self.kept(self.sentence(3, 20))}</p>" for _ in range(self.rnd.randint(1, 3))) if self.rnd.random() < 0.4 else ""
+        before = [self.site_header()] if self.rnd.random() < 0.6 else []
+        before += [self.clutter(k) for k in ("menu", "notice", "advert") if self.rnd.random() < 0.6]
         after = [self.clutter(k) for k in ("related", "comments", "footer", "advert") if self.rnd.random() < 0.6]
-        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{''.join(before)}<div class='wrap'>{story}</div>{''.join(after)}</body></html>"
+        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{''.join(before)}<div class='wrap'>{story}{loose}</div>{''.join(after)}</body></html>"
 
 
 def labelled(pages: int, seed: int) -> list[tuple[str, set[str]]]:
