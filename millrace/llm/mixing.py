@@ -6,7 +6,8 @@ at the total budget, so at any cut the sources stand near their targets.
 
 No window runs over a whole source or over all documents: running sums are made in two levels, inside
 hash cells of a source and over the cells' totals, and likewise inside narrow intervals of finish time and over
-the intervals' totals. A source with a third of all rows is spread over all its cells.
+the intervals' totals. A source with a third of all rows is spread over all its cells. Intervals are made only up to the power
+of two of finish time at which the budget is met, so that a source of very small target does not open millions of them.
 
 Defined cases: null text has size 0; the null source is a source of its own, last in order; null doc_ids
 and repeated rows are mixed like others (rows equal in every way share the order by text); an empty table gives
@@ -77,10 +78,15 @@ def mix(docs: DataFrame, *, weights: list[float] = (1, 2, 3), copies: int = COPI
     queue = placed.where("size > 0 AND target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     queue = queue.withColumn("finish", (F.col("copy") * F.col("source_size") + F.col("through")).cast("double") / F.col("target"))
     queue = queue.select("rank", "cell", "row", "copy", "size", "finish", F.floor(F.col("finish") * TICKS).alias("tick"))
+    budget = goal.agg(F.sum("source_size").alias("budget"))
+    # a row for each power of two of finish time: doubles have some two thousand
+    powers = queue.groupBy(F.ceil(F.log2("finish")).alias("power")).agg(F.sum("size").alias("power_size"))
+    powers = powers.withColumn("power_through", F.sum("power_size").over(Window.orderBy("power"))).crossJoin(budget)
+    last = powers.agg(F.coalesce(F.min(F.when(F.col("power_through") >= F.col("budget"), F.col("power"))), F.max("power")).alias("last"))
+    queue = queue.crossJoin(F.broadcast(written(last))).where(F.ceil(F.log2("finish")) <= F.col("last")).drop("last")  # last is one row
     ticks = queue.groupBy("tick").agg(F.sum("size").alias("tick_size"))
     # one row for each interval that has copies
     ticks = ticks.withColumn("tick_before", F.coalesce(F.sum("tick_size").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    budget = goal.agg(F.sum("source_size").alias("budget"))
     ticks = written(ticks.crossJoin(budget))  # budget is one row
     whole = queue.join(ticks.where("tick_before + tick_size <= budget"), "tick", "left_semi")
     cut = queue.join(ticks.where("tick_before <= budget AND tick_before + tick_size > budget"), "tick")

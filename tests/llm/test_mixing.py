@@ -2,6 +2,7 @@ import itertools
 
 import pytest
 from millrace.llm import mixing
+from pyspark.sql import functions as F
 
 
 def table(spark, rows):
@@ -63,6 +64,29 @@ def test_nulls_repeats_and_empty(spark):
     assert mixing.mixture(docs).columns == docs.columns
 
 
+def test_budget_met_at_any_finish_time(spark):
+    """A long document and a source of tiny target: the intervals go as far as the budget does, plain queueing agrees."""
+    rows = [(k, "a", words(3 + k % 5), 0, 0) for k in range(300)] + [(300, "b", words(4000), 0, 0)] + [(301 + k, "c", words(2), 0, 0) for k in range(4)]
+    weights = [1, 1e-6, 2]
+    got = {r.doc_id: (r.size, r.taken, r.target, r.source_size) for r in mixing.mix(table(spark, rows), weights=weights).collect()}
+    key = {r.doc_id: r.key for r in table(spark, rows).select("doc_id", mixing.shuffle_key(F.col("doc_id"), 17).alias("key")).collect()}
+    queue, taken = [], dict.fromkeys(got, 0)
+    for rank, source in enumerate("abc"):
+        own = sorted((key[r[0]] % mixing.CELLS, key[r[0]], r[0]) for r in rows if r[1] == source)
+        for copy in range(3):
+            through = 0
+            for cell, k, doc in own:
+                through += got[doc][0]
+                queue.append(((copy * got[doc][3] + through) / got[doc][2], rank, cell, k, copy, doc))
+    total, budget = 0, sum(x[0] for x in got.values())
+    for *_, doc in sorted(queue):
+        total += got[doc][0]
+        if total > budget:
+            break
+        taken[doc] += got[doc][0]
+    assert {k: x[1] for k, x in got.items()} == taken
+
+
 def test_no_python_in_the_plan(spark, small):
     out = mixing.mix(spark.read.parquet(f"{small}/documents.parquet"))
     text = out._jdf.queryExecution().toString()
