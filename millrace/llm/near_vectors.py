@@ -11,6 +11,9 @@ The number of tables follows from the same calibration; the number of projection
 logarithm of the label's size, so a cell's expected size does not. A pair that shares cells of several tables is taken
 in the first of them. Cells that are larger than a block are compared block by block, in separate tasks.
 
+Equal vectors of a label are one class, which takes part once: a link counts for all members of both classes, and the members
+link with one another. So copies, however many, make no pairs and never stand in rows of one cell.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows of null
 label; vectors of different lengths do not link; rows with equal vec_ids stay rows of their own; an
 empty table gives no rows; further columns are left behind.
@@ -99,9 +102,9 @@ def _keys(part: DataFrame, keys: int, tables: int, cosine: float) -> DataFrame:
                 mixed = mixed * np.int64(8191) + size
                 out = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(mixed.ravel()))
                 own = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([column(own, "rid"), column(own, "label"), column(own, "vector"), out], ["rid", "label", "vector", "cells"])
+                yield pa.RecordBatch.from_arrays([column(own, "rid"), column(own, "label"), column(own, "copies"), column(own, "vector"), out], ["rid", "label", "copies", "vector", "cells"])
 
-    return part.mapInArrow(run, f"rid bigint, label bigint, vector {part.schema['vector'].dataType.simpleString()}, cells array<bigint>")
+    return part.mapInArrow(run, f"rid bigint, label bigint, copies bigint, vector {part.schema['vector'].dataType.simpleString()}, cells array<bigint>")
 
 
 def _collide(p: np.ndarray, half: float, least: int, split: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +128,13 @@ def _collide(p: np.ndarray, half: float, least: int, split: int) -> tuple[np.nda
 
 
 def _links(groups: DataFrame, cosine: float, recall: float) -> DataFrame:
-    """For each block pair of a cell: how many links each vector has there, and a forest that joins them."""
+    """For each block pair of a cell: how many links each vector of a class has there, and a forest that joins the classes."""
     d = math.sqrt(2 - 2 * cosine)
     least = max(1, least_count(DIRECTIONS, WINDOW, recall))
 
-    def judge(rid: np.ndarray, table: int, block: np.ndarray, left: int, right: int, cells: np.ndarray, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def judge(rid: np.ndarray, copies: np.ndarray, table: int, block: np.ndarray, left: int, right: int, cells: np.ndarray, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(block != left, kind="stable")
-        rid, cells = rid[order], cells[order]
+        rid, copies, cells = rid[order], copies[order], cells[order]
         unit, raw = _units(vectors.take(pa.array(order)))
         split = int((block == left).sum()) if left != right else 0
         a, b = _collide(unit @ _directions(DIRECTIONS, unit.shape[1], SEED).T, WINDOW * d, least, split)
@@ -143,7 +146,8 @@ def _links(groups: DataFrame, cosine: float, recall: float) -> DataFrame:
             dot = (x * y).sum(axis=1)
             hit[at : at + 65536] = dot / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) >= cosine
         a, b = a[hit], b[hit]
-        n = np.bincount(np.r_[a, b], minlength=len(rid))
+        # sums of whole numbers below 2**53 are exact
+        n = np.bincount(np.r_[a, b], copies[np.r_[b, a]], len(rid)).astype(np.int64)
         root = np.arange(len(rid))
         while len(a):
             # labels flow along links until nothing changes
@@ -170,13 +174,13 @@ def _links(groups: DataFrame, cosine: float, recall: float) -> DataFrame:
         def out(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
             pairs, done = groups_of(table, last)
             rids, ns, roots = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            rid, cells, vectors = np.asarray(table["rid"]), table["cells"].combine_chunks(), table["vector"].combine_chunks()
+            rid, copies, cells, vectors = np.asarray(table["rid"]), np.asarray(table["copies"]), table["cells"].combine_chunks(), table["vector"].combine_chunks()
             tables = len(cells[0]) if len(cells) else 0
             grid = np.asarray(cells.flatten()).reshape(len(cells), tables)
             head = {c: np.asarray(table[c]) for c in ("t", "block", "left", "right")}
             for a, b in pairs:
                 if b - a > 1:
-                    x = judge(rid[a:b], int(head["t"][a]), head["block"][a:b], int(head["left"][a]), int(head["right"][a]), grid[a:b], vectors.slice(a, b - a))
+                    x = judge(rid[a:b], copies[a:b], int(head["t"][a]), head["block"][a:b], int(head["left"][a]), int(head["right"][a]), grid[a:b], vectors.slice(a, b - a))
                     for into, part in zip((rids, ns, roots), x, strict=True):
                         into.append(part)
             arrays = [pa.array(np.concatenate(x).astype(np.int64)) for x in (rids, ns, roots)]
@@ -201,25 +205,29 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, recall: float =
     rows = written(vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.col("embedding").alias("vector"), F.col("label").cast("bigint").alias("label")))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = rows.where(F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    sizes = sound.groupBy("label").count()
+    classes = written(sound.groupBy("label", "vector").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")))
+    sizes = classes.groupBy("label").count()
     largest = sizes.agg(F.max("count")).head()[0] or 1
     keys, tables = plan(largest, cosine, recall)
-    keyed = written(_keys(sound.select("rid", "label", "vector"), keys, tables, cosine))
+    keyed = written(_keys(classes.select("rid", "label", "copies", "vector"), keys, tables, cosine))
 
     places = keyed.select("rid", "label", F.posexplode("cells").alias("t", "cell"))
     crowds = places.groupBy("label", "t", "cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = written(crowds.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    full = keyed.select("rid", "label", "vector", "cells", F.posexplode("cells").alias("t", "cell")).join(blocks, ["label", "t", "cell"])
+    full = keyed.select("rid", "label", "copies", "vector", "cells", F.posexplode("cells").alias("t", "cell")).join(blocks, ["label", "t", "cell"])
     full = full.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    groups = full.select("label", "t", "cell", "left", "right", "block", "rid", "cells", "vector").repartition("label", "t", "cell", "left", "right")
+    groups = full.select("label", "t", "cell", "left", "right", "block", "rid", "copies", "cells", "vector").repartition("label", "t", "cell", "left", "right")
     found = written(_links(groups.sortWithinPartitions("label", "t", "cell", "left", "right"), cosine, recall))
 
     joined = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
-    out = rows.select("rid", "vec_id").join(counts, "rid", "left").join(joined.withColumnRenamed("node", "rid"), "rid", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rid").alias("comp"))
+    # one row for each class, written, so that the join with all rows is one of two shuffles and a hot class can be split
+    known = classes.join(counts, "rid", "left").join(joined.withColumnRenamed("node", "rid"), "rid", "left")
+    known = written(known.select("label", "vector", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rid").alias("comp")))
+    out = rows.join(known, ["label", "vector"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("comp", "rid").alias("comp"))
     out = written(out)
     least = written(out.groupBy("comp").agg(F.min("vec_id").alias("component_id")))
     out = out.join(least, "comp")

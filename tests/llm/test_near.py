@@ -138,6 +138,18 @@ def test_vector_blocks_are_exact_too(spark, monkeypatch):
     assert {(r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect()} == {(k, 69, 0) for k in range(70)}
 
 
+def test_copies_of_a_vector_stand_in_no_cell(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal(8)
+    rows = [(k, x.tolist(), 1) for k in range(300)] + [(300 + k, (x + 0.001 * (1 + k)).tolist(), 1) for k in range(3)] + [(400 + k, (-x).tolist(), 1) for k in range(2)] + [(500, x.tolist(), 2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    seen = []
+    links = near_vectors._links
+    monkeypatch.setattr(near_vectors, "_links", lambda groups, *rest: seen.append(groups.select("rid").distinct().count()) or links(groups, *rest))
+    out = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect()}
+    assert out == {**{k: (302, 0) for k in range(303)}, 400: (1, 400), 401: (1, 400), 500: (0, 500)}
+    assert seen[0] <= 4
+
+
 def test_unsound_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 0.0], 1), (8, [1.0, None], 1), (9, [1.0], 1), (10, [], 1), (11, [1.0, 0.0], 2), (2, [2.0, 0.0], 1)]
