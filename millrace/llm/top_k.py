@@ -3,8 +3,8 @@
 For vectors cut into segments of length l with means m and deviations s,
 |q - x|**2 >= sum l * ((m_q - m_x)**2 + (s_q - s_x)**2), so with |q|**2 and |x|**2 known the inner product is at most
 sum l * (m_q * m_x + s_q * s_x). That bound is itself an inner product of short vectors. A block of rows is
-bounded with few segments, the pairs that can still enter a query's list with more, and the rest is computed exactly. Where
-most pairs survive a level, the next one is skipped, for then the plain product is cheaper.
+bounded with few segments, the pairs that can still enter a query's list with more, and the rest is computed exactly. Every level
+is taken for every block; queries and rows without a live pair leave after each.
 
 The query set is a stated share of the rows; it is taken in slabs of bounded size, each sent to all executors while all
 rows stream by. Lists start from a bound that a sample of rows gives; every row is then compared.
@@ -29,9 +29,9 @@ K, EVERY, SCALE = 20, 20, 64
 #: Queries in a slab, rows in a block, rows that give the first bounds.
 SLAB, BLOCK, SAMPLE = 4096, 1024, 4096
 #: Segments by level.
-LEVELS = (4, 16)
-#: Share of pairs up to which survivors are gathered one by one.
-SPARSE = 0.1
+LEVELS = (16, 32, 48)
+#: Share of live pairs up to which they are computed one by one, else by a product of the rows and queries that have any.
+SPARSE = 0.02
 
 
 def summary(x: np.ndarray, segments: int) -> np.ndarray:
@@ -129,26 +129,24 @@ def _step(slab: tuple, floor: np.ndarray, best: dict, size: int, x: np.ndarray,
     exact = _exact(q, x)
     # bounds are computed in floating point: leave room for their rounding
     room = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))) - 1e-6
-    pairs = None
-    for level, segments in enumerate(LEVELS):
-        mine = summary(x, segments)
-        if pairs is None:
-            able = levels[level] @ mine.T >= room[:, None]
-            if able.mean() > SPARSE:
-                continue
-            pairs = np.nonzero(able)
-        else:
-            keep = np.einsum("ij,ij->i", levels[level][pairs[0]], mine[pairs[1]]) >= room[pairs[0]]
-            pairs = pairs[0][keep], pairs[1][keep]
-    if pairs is None or not exact:
-        score = _product(q, x)
-        a, b = np.nonzero(score >= floor[:, None])
-        score = score[a, b]
+    live = np.arange(len(q)), np.arange(len(x))
+    able = np.ones((len(q), len(x)), bool)
+    for level, segments in enumerate(LEVELS if exact else ()):
+        mine = summary(x[live[1]], segments)
+        able &= levels[level][live[0]] @ mine.T >= room[live[0], None]
+        kept = able.any(axis=1), able.any(axis=0)
+        able = able[kept[0]][:, kept[1]]
+        live = live[0][kept[0]], live[1][kept[1]]
+    if exact and able.size and able.mean() <= SPARSE:
+        a, b = np.nonzero(able)
+        score = np.einsum("ij,ij->i", q[live[0][a]], x[live[1][b]])
+        keep = score >= floor[live[0][a]]
     else:
-        a, b = pairs
-        score = np.einsum("ij,ij->i", q[a], x[b])
-        keep = score >= floor[a]
-        a, b, score = a[keep], b[keep], score[keep]
+        score = _product(q[live[0]], x[live[1]])
+        a, b = np.nonzero(able & (score >= floor[live[0], None]))
+        score = score[a, b]
+        keep = np.ones(len(a), bool)
+    a, b, score = live[0][a[keep]], live[1][b[keep]], score[keep]
     other = ids[a] != rids[b]
     a, b, score = a[other], b[other], score[other].astype(np.int64)
     own = [a, score, names[b], rids[b]]
