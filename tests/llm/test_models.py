@@ -1,8 +1,10 @@
 """Quality grades by held-out accuracy, scores against a plain computation."""
 
 import math
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -142,3 +144,18 @@ def test_no_training_texts_and_empty(spark):
     row = scoring.score(docs).head()
     assert row.held_out and row.train_tokens == 0 and row.n_known == 0 and row.base_score == pytest.approx(0)
     assert scoring.score(docs.limit(0)).count() == 0
+
+
+def test_no_exchange_leaves_its_shuffle_files(spark):
+    def shuffles():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p.name.split("_")[1] for folder in folders for p in Path(folder.getPath()).glob("*/shuffle_*")}
+
+    before = shuffles()
+    docs = spark.createDataFrame([(k, f"one two word{k % 7} three") for k in range(100)], "doc_id bigint, text string")
+    out = scoring.score(docs, chunk=500)
+    end = time.monotonic() + 10
+    while (left := shuffles() - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left
+    assert out.count() == 100
