@@ -115,9 +115,10 @@ def _before(tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
 
 class _Grams:
     """The distinct n-grams of one length of a chunk: sorted `keys`, `n` (their counts in training texts), `which` of them ends at
-    each of the positions `at`, and the number of their `context` among the n-grams one shorter."""
+    each of the positions `at`, and the number of their `context` among the n-grams one shorter. hashes: of each position, or of
+    what `of` numbers for each, all of which must occur."""
 
-    def __init__(self, hashes: np.ndarray, kind: int, at: np.ndarray, train: np.ndarray, before: np.ndarray | None):
+    def __init__(self, hashes: np.ndarray, kind: int, at: np.ndarray, train: np.ndarray, before: np.ndarray | None, of: np.ndarray | None = None):
         keys = (mix64(hashes) & ~np.uint64(3)) | np.uint64(kind)
         order = np.argsort(keys).astype(np.int32)
         keys = keys[order]
@@ -125,6 +126,8 @@ class _Grams:
         self.keys, self.at = keys[new], at
         self.which = np.empty(len(keys), np.int32)
         self.which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        if of is not None:
+            self.which = self.which[of]
         self.n = np.bincount(self.which[train[at]], minlength=len(self.keys))
         self.context = np.empty(len(self.keys), np.int32)
         if before is not None:
@@ -137,7 +140,7 @@ class _Order:
     def __init__(self, kinds: list[np.ndarray]):
         self.bounds = np.cumsum([0, *map(len, kinds)])
         joined = np.concatenate(kinds)
-        self.order = np.argsort(joined)
+        self.order = np.argsort(joined, kind="stable")  # merges the kinds, each of which is sorted
         self.keys = joined[self.order]
 
     def put(self, values: list[np.ndarray]) -> np.ndarray:
@@ -160,7 +163,7 @@ class _Chunk:
         spelt = _unpack(row["words"], "u1").tobytes().split(b"\n")
         keys = np.fromiter(map(xxhash.xxh64_intdigest, spelt), np.uint64, len(spelt))
         everywhere = np.arange(len(tokens), dtype=np.int32)
-        self.words = _Grams(keys[tokens], WORD, everywhere, self.train, None)
+        self.words = _Grams(keys, WORD, everywhere, self.train, None, tokens)
         # the word before each token; texts start after an end
         previous = _before(tokens, self.lengths, end)
         number = np.zeros(len(keys), np.int32)
