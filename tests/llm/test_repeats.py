@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -80,6 +81,26 @@ def test_equal_hashes_do_not_decide():
         assert (got == want).all()
 
 
+@pytest.mark.parametrize(("length", "gram", "digit"), [(224, 56, 112), (400, 100, 200)])
+def test_a_large_group_is_compared_in_little_memory(length, gram, digit):
+    rng = np.random.default_rng(7)
+    n, wide = repeats.CROWD + repeats.BLOCK, length - gram
+    kinds = rng.integers(97, 123, (n // 40, wide + length), dtype=np.uint8)
+    pick = rng.integers(0, len(kinds), n)
+    alone = rng.random(n) < 0.5
+    grid = kinds[pick]
+    grid[alone, :: digit // 4] = rng.integers(0, 97, (int(alone.sum()), len(range(0, wide + length, digit // 4))), dtype=np.uint8)
+    tracemalloc.start()
+    try:
+        got = repeats._marks(grid, np.zeros(n, np.uint64), np.zeros(n, np.int64), np.full(n, wide), length, gram, digit)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    twice = np.bincount(pick[~alone], minlength=len(kinds)) > 1
+    assert (got == (~alone & twice[pick])[:, None]).all()
+    assert peak < 10 * grid.nbytes
+
+
 def test_production_length(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert run(spark, rows) == expected(rows, 400)
