@@ -39,13 +39,18 @@ def json_lines(df: DataFrame) -> Column:
 
 
 def write(df: DataFrame, path: str, format: str, *, split: str | None = None) -> None:
-    """Write in parallel below `path`: csv, tsv, jsonl or parquet; only one split if it is named."""
+    """Write in parallel below `path`: csv, tsv, jsonl or parquet; only one split if it is named.
+
+    Delimited text keeps white space at either side of a cell, and quotes the cells of a single column, where an empty one would be a blank line.
+    """
     if split and "split" in df.columns:
         df = df.where(F.col("split") == split)
     try:
         if format in ("csv", "tsv"):
             mark = "," if format == "csv" else "\t"
-            df.select(*_shown(df)).write.options(header=True, sep=mark, quote='"', escape='"', emptyValue="", nullValue="").csv(path)
+            cells = _shown(df)
+            kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": len(cells) == 1}
+            df.select(*cells).write.options(header=True, sep=mark, quote='"', escape='"', emptyValue="", nullValue="", **kept).csv(path)
         elif format == "jsonl":
             df.select(json_lines(df).alias("value")).write.text(path)
         elif format == "parquet":

@@ -357,6 +357,16 @@ def test_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').where("t = 'a \"b\", c'").count() == 1
 
 
+def test_delimited_cells_come_back(spark, tmp_path):
+    cells = ["  lead", "trail \t", "\n\n a \r\n", "\r", " ", '" a "', 'say "x", ', "\\", "#x", "\x01x\x1f", None]
+    wide = spark.createDataFrame(list(enumerate(cells)), f"{RID} bigint, t string").withColumn("n", F.col(RID))
+    for kind, mark in (("csv", ","), ("tsv", "\t")):
+        for name, df in (("wide", wide), ("alone", wide.drop("n"))):
+            writers.write(df, where := str(tmp_path / kind / name), kind)
+            found = readers.scan_delimited(spark, where, delimiter=mark, header=True)
+            assert sorted(map(repr, (r.t for r in found.collect()))) == sorted(map(repr, cells))
+
+
 def test_streams(spark, tmp_path):
     folder = str(tmp_path / "in")
     rows = [(k, f"text number {k % 3} to look at", f"2024-01-01 00:0{k}:00") for k in range(6)]
