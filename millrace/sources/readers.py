@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import ParseFailure, UnreadableFile, UnsupportedFormat
 from ..functions import chunks, text
 from ..functions.values import RID
-from ..plans.tables import written
+from ..plans.tables import bounded_batches, written
 from . import encoding, parsers
 
 #: Extensions and what they stand for.
@@ -212,6 +212,7 @@ def read_folder(spark: SparkSession, path: str, *, mode: str = "wholeFile") -> I
                 out += [(relative, k, row["text"]) for k, row in enumerate(split_text(_page(found) if kind == "html" else found, how))]
             yield pd.DataFrame(out, columns=["source", "place", "text"])
 
+    bounded_batches(spark)
     rows = files.mapInPandas(run, "source string, place bigint, text string")
     return Imported(numbered(rows, "source", "place").select(RID, "text", "source"), "text")
 
