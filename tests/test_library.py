@@ -11,7 +11,7 @@ from millrace.functions.chunks import ChunkerConfig
 from millrace.functions.expressions import compile_expression, parse
 from millrace.functions.quality import QualityRules
 from millrace.functions.values import RID
-from millrace.operators import augment, ops, reports, shaping
+from millrace.operators import augment, fuzzy, ops, reports, shaping
 from millrace.plans import presets, tables
 from millrace.plans.executor import preview, run, sample
 from millrace.plans.recipe import Recipe
@@ -373,6 +373,28 @@ def test_python_gets_small_batches(spark):
     assert max(r.rows for r in seen) <= tables.BATCH_ROWS and max(r.chars for r in seen) < 2 * tables.BATCH_BYTES
 
 
+def test_fuzzy_sets_come_in_small_batches(spark):
+    import pyarrow as pa
+    import xxhash
+
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    text = F.when(F.col(RID) % 3 == 0, F.lit(None)).when(F.col(RID) % 3 == 1, F.lit("two words")).otherwise(F.concat(F.lit("one two three four "), F.col(RID).cast("string")))
+    made = fuzzy._sets(spark.range(9000).select(F.col("id").alias(RID), text.alias("text")).coalesce(1), 32)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rid": [batch.num_rows]})
+
+    seen = [r.rid for r in made.mapInArrow(sizes, "rid bigint").collect()]
+    assert sum(seen) == 9000 and max(seen) <= tables.BATCH_ROWS
+    rows = {r.rid: (r.grams, r.keys) for r in made.where("rid < 6").collect()}
+    for rid, expected in ((0, []), (1, ["two words"]), (5, ["one two three", "two three four", "three four 5"])):
+        grams, keys = rows[rid]
+        assert sorted(x % 2**64 for x in grams) == sorted(map(xxhash.xxh3_64_intdigest, expected)) and len(keys) == 32
+    assert rows[1] == rows[4]
+
+
 def test_delimited_cells_come_back(spark, tmp_path):
     cells = ["  lead", "trail \t", "\n\n a \r\n", "\r", " ", '" a "', 'say "x", ', "\\", "#x", "\x01x\x1f", None]
     wide = spark.createDataFrame(list(enumerate(cells)), f"{RID} bigint, t string").withColumn("n", F.col(RID))
