@@ -357,7 +357,8 @@ def test_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').where("t = 'a \"b\", c'").count() == 1
 
 
-def test_python_gets_small_batches(spark):
+@pytest.mark.parametrize("kind", ["judgeScore", "generateQA", "preferencePair"])
+def test_python_gets_small_batches(spark, kind):
     for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
         spark.conf.unset(f"spark.sql.execution.arrow.{key}")
     text = F.when(F.col(RID) < 200, F.repeat(F.lit("word "), 20000)).otherwise("short text")
@@ -367,7 +368,7 @@ def test_python_gets_small_batches(spark):
         for part in parts:
             yield part.head(1).assign(rows=len(part), chars=part["text"].str.len().sum())[["rows", "chars"]]
 
-    out = run(df, [ops.Augment(augment.AugmentConfig("judgeScore", "text"))], context=ops.Context(client=augment.DemoClient())).output
+    out = run(df, [ops.Augment(augment.AugmentConfig(kind, "text"))], context=ops.Context(client=augment.DemoClient())).output
     seen = out.mapInPandas(sizes, "rows bigint, chars bigint").collect()
     assert sum(r.rows for r in seen) == 9000
     assert max(r.rows for r in seen) <= tables.BATCH_ROWS and max(r.chars for r in seen) < 2 * tables.BATCH_BYTES
