@@ -374,6 +374,25 @@ def test_python_gets_small_batches(spark, kind):
     assert max(r.rows for r in seen) <= tables.BATCH_ROWS and max(r.chars for r in seen) < 2 * tables.BATCH_BYTES
 
 
+def test_normalize_gives_python_small_batches_once(spark):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    cells = ["plain", "a &amp; b", "ﬁne", "caf&#101;&#x301;", "&#xFB01; & ﬁ", "&nosuch;", None]
+    df = spark.range(9000).select(F.col("id").alias(RID), F.get(F.array(*map(F.lit, cells)), (F.col("id") % 7).cast("int")).alias("text")).coalesce(1)
+    options = text.NormalizeOptions(unicode_form="nfkc", decode_html_entities=True)
+    out = run(df, [ops.NormalizeText(("text",), options), ops.SelectColumns(("text",))]).frame
+    two = F.col("text").alias("text"), text.unicode_form(text.decode_entities(F.col("text")), "nfkc").alias("t")
+    assert {tuple(r) for r in df.select(two[0], text.decoded_form(F.col("text"), "nfkc")).distinct().collect()} == {tuple(r) for r in df.select(*two).distinct().collect()}
+    assert {r.text for r in out.where(f"{RID} < 7").collect()} == {"plain", "a & b", "fine", "café", "fi & fi", "&nosuch;", None}
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+    def sizes(parts):
+        for part in parts:
+            yield part.head(1).assign(rows=len(part))[["rows"]]
+
+    assert max(r.rows for r in out.select(RID).mapInPandas(sizes, "rows bigint").collect()) <= tables.BATCH_ROWS
+
+
 def test_fuzzy_sets_come_in_small_batches(spark):
     import pyarrow as pa
     import xxhash
